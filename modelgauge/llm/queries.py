@@ -6,20 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelgauge.llm import decontamination, simhash_forest
+from modelgauge.llm import decontamination, line_dedup, packing, simhash_forest, toxicity
 from modelgauge.llm import textcore as tc
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are toxic once deobfuscated."""
+    return toxicity.toxic(tc.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(tc.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that go, each with the one that stays for it."""
+    return line_dedup.duplicate_lines(tc.documents(spark, sf_dir))
+
+
 def op7_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_forest.near_duplicates(tc.documents(spark, sf_dir))
 
 
+def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its bin."""
+    return packing.packed(tc.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op7_simhash_forest": op7_simhash_forest,
+    "op10_vector_packing": op10_vector_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
