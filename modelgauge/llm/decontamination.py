@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from modelgauge.llm import textcore as tc
 from modelgauge.llm.simhash_forest import without_ids
+from modelgauge.shipping import ship
 
 SHINGLE, CONTAINMENT, SMALL = 3, 0.6, 1 << 22
 
@@ -52,6 +53,7 @@ def _shingles(known: np.ndarray | None, n: int):
 
 def shingles(df: DataFrame, key: str, n: int = SHINGLE, known: np.ndarray | None = None) -> DataFrame:
     """(id, row, shingle, at): the place of each shingle in each text; `row` tells apart rows that share an id."""
+    ship(df.sparkSession)
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").withColumn("row", F.monotonically_increasing_id())
     return rows.mapInArrow(_shingles(known, n), "id bigint, row bigint, shingle bigint, at bigint")
 

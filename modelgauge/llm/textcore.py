@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelgauge.shipping import ship
+
 SLICE = 1 << 19
 _BASE, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _WORD = np.array([(b >= 128) or chr(b).isalnum() for b in range(256)], dtype=bool)
@@ -112,6 +114,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = SL
 
 def ids_texts(df: DataFrame) -> DataFrame:
     """doc_id and text alone: other columns, whatever their names, take no part."""
+    ship(df.sparkSession)
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
