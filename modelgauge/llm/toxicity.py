@@ -4,6 +4,8 @@
    gathered is bounded by 64^3 for each task and grows with the number of tasks).
 2. A lexicon of toxic words and word beginnings, each with its share of toxic documents, is fitted on labelled documents:
    at most ``LABELLED`` of them, those of least hash of doc_id.  This bound is the one place where not all rows count.
+   Texts that are alike count once, and an entry must be in ``LEAST_PART`` of the toxic ones, so that the rare words of a
+   toxic document that was copied don't pass for toxic words.
 3. Each document's tokens that show leetspeak, inner symbols, stretched letters or letters spaced apart become a lattice
    of readings (a substitution, a deletion, a vowel for a star, a boundary or none), and a Viterbi search over pairs of
    classes finds the likeliest text under the channel's costs and the language model.  All other tokens have but one
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from modelgauge.llm import textcore as tc
 from modelgauge.llm.simhash_forest import without_ids
 
-LABELLED, THRESHOLD, LEAST_SHARE, LEAST_DOCS = 8000, 0.85, 0.9, 4
+LABELLED, THRESHOLD, LEAST_SHARE, LEAST_DOCS, LEAST_PART = 8000, 0.85, 0.9, 4, 0.015
 N = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåçèéêëìíîïñòóôöõùúûüýßœ"
 CLASS = np.full(0x10000, 62, dtype=np.uint8)  # 0: boundary, 1..: letters, 61: digits, 62: others
@@ -90,9 +92,11 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> di
     """Words (with a space after them) and word beginnings with their smoothed share of toxic documents."""
     lab = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)").groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     some = tc.checkpointed(lab.orderBy(F.xxhash64("_id"), "_id").limit(bound))
-    mine = tc.ids_texts(docs).join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
+    mine = tc.ids_texts(docs).join(F.broadcast(some), F.col("doc_id") == F.col("_id")).groupBy("text").agg(F.max("_toxic").alias("toxic"))
+    mine = tc.checkpointed(mine)
+    least = max(LEAST_DOCS, math.ceil(LEAST_PART * mine.where("toxic = 1").count()))
     n = mine.mapInArrow(_features, "feature string, toxic int, n bigint").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("bad"), F.sum("n").alias("n"))
-    kept = n.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") / (F.col("n") + 0.4) >= LEAST_SHARE)).collect()
+    kept = n.where((F.col("bad") >= least) & (F.col("bad") / (F.col("n") + 0.4) >= LEAST_SHARE)).collect()
     share = {r["feature"]: (r["bad"] + 0.5) / (r["n"] + 1) for r in kept}
     return {f: s for f, s in share.items() if not any(f[:k] in share for k in range(5, len(f)))}
 
