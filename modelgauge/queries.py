@@ -30,7 +30,8 @@ def query(name: str, sql: str | None = None):
     def keep(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(lambda r: _relation(spark, sf_dir, r))
         if sql is not None:
-            ORACLE_SQL[name] = "with " + ", ".join(f"{k} as ({v})" for k, v in _VIEWS.items() if k in _needed(sql)) + " " + sql
+            views = ", ".join(f"{k} as ({v})" for k, v in _VIEWS.items() if k in _needed(sql))
+        ORACLE_SQL[name] = f"with {views} {sql}" if views else sql
         return f
 
     return keep
