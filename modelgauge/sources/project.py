@@ -62,7 +62,7 @@ def files(spark: SparkSession, root: str, pattern: str, excludes: tuple[str, ...
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(str(root)).where(F.col("length") <= LARGEST)
     base = Path(root).resolve().as_posix()
     rel = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     out = raw.select(F.substring(rel, len(base) + 2, 1 << 20).alias("path"), text.alias("content"), F.substring(F.sha2("content", 256), 1, 16).alias("source_hash"))
     from modelgauge.functions.exprs import matches_any
 
