@@ -129,25 +129,33 @@ def _texts(bloom: np.ndarray):
     return run
 
 
-def shingle_set(norm: bytes) -> np.ndarray:
-    return np.unique(tc.rolling(np.frombuffer(norm, dtype=np.uint8), SHINGLE))
+def shingle_set(norm: bytes) -> frozenset[bytes]:
+    return frozenset(norm[i : i + SHINGLE] for i in range(len(norm) - SHINGLE + 1))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+def jaccard(a: frozenset[bytes], b: frozenset[bytes]) -> float:
+    both = len(a & b)
     return both / max(1, len(a) + len(b) - both)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, norm_a, norm_b) in runs of a: its shingles are made once."""
-    last, own = None, None
+    """Rows (a, b, norm_a, norm_b): a line's shingles are kept for the pairs that follow, up to a bound of memory."""
+    sets: dict[int, frozenset[bytes]] = {}
+    held = 0
     for batch in batches:
-        a, b, na, nb = (c.to_pylist() for c in batch.columns)
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         keep = np.zeros(len(a), dtype=bool)
         for i in range(len(a)):
-            if a[i] != last:
-                last, own = a[i], shingle_set(na[i])
-            keep[i] = jaccard(own, shingle_set(nb[i])) >= SIMILARITY
+            pair = []
+            for line, norm in ((a[i], 2), (b[i], 3)):
+                if (s := sets.get(line)) is None:
+                    s = sets[line] = shingle_set(batch.column(norm)[i].as_py())
+                    held += len(s)
+                pair.append(s)
+            x, y = pair
+            keep[i] = min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) and jaccard(x, y) >= SIMILARITY
+            if held > 1_000_000:
+                sets, held = {}, 0
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
