@@ -344,7 +344,7 @@ def _(r):
     return E.gate_findings(r("waived"), 1, True)
 
 
-@query("q_cov", "select dimension, round(ratio, 9) as ratio, minimum from (" + _rolled("facts", 0.0) + ") join (values ('test', 0.99), ('doc', 0.2), ('test_unit', 0.95)) v(dimension, minimum) using (dimension) where ratio < minimum")
+@query("q_cov", "select dimension, round(ratio, 9) as ratio, minimum from (" + _rolled("facts", 0.0) + ") join (values ('test', 0.99::double), ('doc', 0.2), ('test_unit', 0.95)) v(dimension, minimum) using (dimension) where ratio < minimum")
 def _(r):
     return E.gate_coverage(_ratio(r("facts")), {"test": 0.99, "doc": 0.2, "test_unit": 0.95})
 
