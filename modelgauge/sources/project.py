@@ -126,7 +126,7 @@ def _yaml(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def schema_rows(yml: DataFrame) -> DataFrame:
     ship(yml.sparkSession)
-    keep = yml.where(~F.regexp_like("path", F.lit(r"(^|/)(dbt_project|dbtcov)\.ya?ml$")))
+    keep = yml.where(~F.regexp_like("path", F.lit(r"(^|/)dbt_project\.ya?ml$")))
     return keep.select("path", "content").mapInPandas(_yaml, YAML_ROW)
 
 
