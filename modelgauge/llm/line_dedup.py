@@ -87,7 +87,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of different lines of each band; rows come sorted by band and line."""
+    """All pairs of different lines of each band, and whether the first is the band's least; rows come sorted by band and line."""
 
     def pairs(line: np.ndarray) -> Iterator[pa.RecordBatch]:
         line = np.unique(line)
@@ -95,7 +95,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in range(0, len(line) - 1, step):
             i, j = np.nonzero(np.arange(s, min(s + step, len(line)))[:, None] < np.arange(len(line))[None, :])
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(line[i + s]), pa.array(line[j])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(line[i + s]), pa.array(line[j]), pa.array(i + s == 0)], names=["a", "b", "star"])
 
     rest_band, rest_line = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
@@ -112,7 +112,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = line[two], line[two + 1]
         on = a != b
         if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.array(np.ones(on.sum(), dtype=bool))], names=["a", "b", "star"])
         for k in np.flatnonzero(size > 2):
             yield from pairs(line[ends[k] : ends[k + 1]])
     yield from pairs(rest_line)
@@ -163,13 +163,22 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     """(line, root): the component of each line that is similar to another one."""
     text = tc.ids_texts(docs)
     bands = text.mapInArrow(_bands, "band bigint, line bigint")
-    pairs = tc.checkpointed(bands.repartition("band").sortWithinPartitions("band", "line").mapInArrow(_pairs, "a bigint, b bigint").distinct())
+    all_pairs = bands.repartition("band").sortWithinPartitions("band", "line").mapInArrow(_pairs, "a bigint, b bigint, star boolean")
+    pairs = tc.checkpointed(all_pairs.groupBy("a", "b").agg(F.max("star").alias("star")))
     bloom = tc.bloom_words(pairs.select(F.explode(F.array("a", "b")).alias("line")), "line")
     shared = text.sparkSession.sparkContext.broadcast(bloom)
     norms = tc.checkpointed(text.mapInArrow(lambda it: _texts(shared.value)(it), "line bigint, norm binary").dropDuplicates(["line"]))
-    both = pairs.join(norms.select(F.col("line").alias("a"), F.col("norm").alias("na")), "a").join(norms.select(F.col("line").alias("b"), F.col("norm").alias("nb")), "b")
-    same = both.select("a", "b", "na", "nb").mapInArrow(_verified, "a bigint, b bigint")
-    return tc.components(same).select(F.col("node").alias("line"), "root")
+
+    def verified(p: DataFrame) -> DataFrame:
+        both = p.join(norms.select(F.col("line").alias("b"), F.col("norm").alias("nb")), "b").join(norms.select(F.col("line").alias("a"), F.col("norm").alias("na")), "a")
+        return both.select("a", "b", "na", "nb").mapInArrow(_verified, "a bigint, b bigint")
+
+    # pairs with the least line of a band first: other pairs matter only if those left their lines in different components
+    near = tc.checkpointed(tc.components(verified(pairs.where("star").select("a", "b"))))
+    rest = pairs.where("not star").join(near.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    more = verified(rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"))
+    edges = near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    return tc.components(edges).select(F.col("node").alias("line"), "root")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
