@@ -4,9 +4,12 @@ A document's 256-bit signature is the sign of the sum of its distinct words' and
 tries, each over its own random order of the bits.  How deep a prefix is used follows from the density (the number of
 distinct signatures): so deep that a node holds about ``NODE`` of them if they are spread evenly.  Then as many tries
 are grown as the recall asks for, and the search climbs from there to shorter prefixes for as long as the probability
-that a pair at the largest accepted distance shares a node of some trie is under ``RECALL``.  All pairs of a node are
-verified on all 256 bits; nothing is capped: a dense node is worked off in blocks, and what leaves it is a spanning
-forest of its matches, so thousands of copies cost rows in proportion to their number.
+that a pair at the distance ``DISTANCE`` shares a node of some trie is under ``RECALL``.  All pairs of a node are
+compared on all 256 bits; those within ``DISTANCE`` are candidates, given once each, by the first trie that has them.  A
+candidate is a match if the exact Jaccard similarity of its texts' sets of words and word pairs is ``SIMILARITY`` or more.
+Texts of similarity 0.7 are 49 bits apart on average with a deviation of 6, so 58 bits hold nine tenths even of the least
+similar pairs.  Nothing is capped: a dense node is worked off in blocks, and pairs within a component are not verified
+again.  Texts with equal signatures are matches.
 
 Defined cases: a null or wordless text is in no group; rows with a null doc_id are in no group; rows that share a doc_id
 are one document with several texts, each of which can bring it into a group; equal texts always share a group; an empty
@@ -25,7 +28,22 @@ from pyspark.sql import functions as F
 
 from modelgauge.llm import textcore as tc
 
-BITS, DISTANCE, RECALL, NODE = 256, 36, 0.97, 24
+BITS, DISTANCE, RECALL, NODE, SIMILARITY = 256, 58, 0.97, 512, 0.7
+
+
+def features(h: np.ndarray) -> np.ndarray:
+    """The sorted set of the hashes of a text's words and word pairs."""
+    return np.unique(np.concatenate([h, tc.rolling(h, 2)]))
+
+
+def signature(feats: np.ndarray) -> bytes:
+    wide = np.empty((len(feats), 4), dtype=np.uint64)
+    for k in range(4):
+        wide[:, k] = tc.mix(feats + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (1 << 64) - 1))
+    total = np.zeros(BITS, dtype=np.int64)
+    for s in range(0, len(feats), 4096):
+        total += np.unpackbits(wide[s : s + 4096].view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * total > len(feats)).tobytes()
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,15 +54,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = w.hash[w.first[i] : w.first[i + 1]]
             if doc is None or not len(h):
                 continue
-            feats = np.unique(np.concatenate([h, tc.rolling(h, 2)]))
-            wide = np.empty((len(feats), 4), dtype=np.uint64)
-            for k in range(4):
-                wide[:, k] = tc.mix(feats + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (1 << 64) - 1))
-            total = np.zeros(BITS, dtype=np.int64)
-            for s in range(0, len(feats), 4096):
-                total += np.unpackbits(wide[s : s + 4096].view(np.uint8), axis=1).sum(0, dtype=np.int32)
             ids.append(doc)
-            sigs.append(np.packbits(2 * total > len(feats)).tobytes())
+            sigs.append(signature(features(h)))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "sig"])
 
 
@@ -66,8 +77,13 @@ def forest_shape(n: int, distance: int = DISTANCE, recall: float = RECALL, node:
     return depth, tries
 
 
+def _orders(depth: int, tries: int) -> list[np.ndarray]:
+    return [np.random.default_rng([7, t]).permutation(BITS)[:depth] for t in range(tries)]
+
+
 def _prefixes(depth: int, tries: int):
-    orders = [np.random.default_rng([7, t]).permutation(BITS)[:depth] for t in range(tries)]
+    """Rows (node, rep, sig); the low 16 bits of a node are the number of its trie."""
+    orders = _orders(depth, tries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +96,7 @@ def _prefixes(depth: int, tries: int):
                     key = np.full(len(bits), t, dtype=np.uint64)
                     for k in order:
                         key = key * np.uint64(2) + bits[:, k]
-                    keys.append(tc.mix(key + np.uint64(t << 40)).view(np.int64))
+                    keys.append((tc.mix(key + np.uint64(t << 40)) & np.uint64(0xFFFFFFFFFFFF0000) | np.uint64(t)).view(np.int64))
                 n = len(orders)
                 take = np.tile(np.arange(part.num_rows), n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take))], names=["node", "rep", "sig"])
@@ -88,43 +104,51 @@ def _prefixes(depth: int, tries: int):
     return run
 
 
-def _matches(sigs: np.ndarray, limit: int) -> np.ndarray:
-    """For each row, the least row of its component under 'distance at most limit'."""
+def _blocks(sigs: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows (i, j), i < j, whose distance is at most limit."""
     n = len(sigs)
-    lab = np.arange(n)
-    left, right = [], []
-    step = max(1, (1 << 18) // n)
-    for s in range(0, n, step):
+    step = max(1, (1 << 16) // n)
+    for s in range(0, n - 1, step):
         block = sigs[s : s + step]
         d = np.zeros((len(block), n - s), dtype=np.uint16)
         for k in range(sigs.shape[1]):
             d += np.bitwise_count(block[:, k, None] ^ sigs[None, s:, k])
         i, j = np.nonzero(d <= limit)
         on = i < j
-        left.append(i[on] + s)
-        right.append(j[on] + s)
-    i, j = np.concatenate(left), np.concatenate(right)
-    while len(i):
-        low = np.minimum(lab[i], lab[j])
-        new = lab.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == lab).all():
-            break
-        lab = new
-    return lab
-
-
-def _verify(distance: int):
-    def flush(rep: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lab = _matches(sig, distance)
-        on = lab != np.arange(len(lab))
-        return rep[lab[on]], rep[on]
+        if on.any():
+            yield i[on] + s, j[on] + s
+
+
+def _candidates(distance: int, depth: int, tries: int):
+    """(a, b, star) of each pair within distance that shares a node, from the first such trie only; star: a is the first row in the node that is near b."""
+    bits = np.zeros((tries, BITS), dtype=np.uint8)
+    for t, order in enumerate(_orders(depth, tries)):
+        bits[t, order] = 1
+    masks = np.packbits(bits, axis=1).view(np.uint64)
+
+    def flush(node: int, rep: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t = node & 0xFFFF
+        reached = np.zeros(len(rep), dtype=bool)
+        for i, j in _blocks(sig, distance):
+            star = np.zeros(len(i), dtype=bool)
+            new, at = np.unique(j, return_index=True)
+            star[at] = ~reached[new]
+            reached[new] = True
+            for s in range(0, len(i), 2048):
+                x, y = i[s : s + 2048], j[s : s + 2048]
+                same = ((sig[x] ^ sig[y])[:, None, :] & masks[None, : t + 1]).max(2) == 0
+                on = same[:, t] & ~same[:, :t].any(1)
+                if on.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[x[on]]), pa.array(rep[y[on]]), pa.array(star[s : s + 2048][on])], names=["a", "b", "star"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []  # the last node so far: (rep, sig) pieces
         last = None
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            if sum(len(x[0]) for x in held) > 1:
+                yield from flush(int(last), np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -132,33 +156,66 @@ def _verify(distance: int):
             rep = batch.column(1).to_numpy()
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
             cut = np.flatnonzero(np.diff(node)) + 1
-            a, b = [], []
             for s, e in zip([0, *cut], [*cut, len(node)]):
                 if held and node[s] != last:
-                    if sum(len(x[0]) for x in held) > 1:
-                        x, y = flush(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-                        a.append(x), b.append(y)
+                    yield from whole()
                     held = []
                 held.append((rep[s:e], sig[s:e]))
                 last = node[s]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-        if held and sum(len(x[0]) for x in held) > 1:
-            x, y = flush(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+        yield from whole()
+
+    return run
+
+
+def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in tc.slices(batches):
+        w = tc.Words(texts)
+        feats = [features(w.hash[w.first[i] : w.first[i + 1]]) for i in range(len(texts))]
+        feats = [f for f in feats if len(f)]
+        yield pa.RecordBatch.from_arrays([pa.array([signature(f) for f in feats], pa.binary()), pa.array([f.tobytes() for f in feats], pa.binary())], names=["sig", "feats"])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of features."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(f.as_py(), dtype=np.uint64) for f in batch.column(k)] for k in (2, 3))
+            keep = [min(len(f), len(g)) >= similarity * max(len(f), len(g)) and jaccard(f, g) >= similarity for f, g in zip(x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, recall: float = RECALL, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, group_id, group_size) of each document in a near-duplicate group; group_id is the group's least doc_id."""
     sigs = tc.checkpointed(signatures(docs))
-    reps = tc.checkpointed(sigs.groupBy("sig").agg(F.min("doc_id").alias("rep")).select("rep", "sig"))
+    reps = tc.checkpointed(sigs.groupBy("sig").agg(F.min("doc_id").alias("rep")).select(F.xxhash64("sig").alias("key"), "rep", "sig"))
     depth, tries = forest_shape(reps.count(), distance, recall)
-    nodes = reps.mapInArrow(_prefixes(depth, tries), "node bigint, rep bigint, sig binary").repartition("node").sortWithinPartitions("node")
-    pairs = nodes.mapInArrow(_verify(distance), "a bigint, b bigint").distinct()
-    same = sigs.join(reps.withColumnRenamed("rep", "a"), "sig").select("a", F.col("doc_id").alias("b")).where("a <> b")
-    groups = tc.checkpointed(tc.components(pairs.union(same)))
+    nodes = reps.select("key", "sig").mapInArrow(_prefixes(depth, tries), "node bigint, rep bigint, sig binary").repartition("node").sortWithinPartitions("node")
+    pairs = tc.checkpointed(nodes.mapInArrow(_candidates(distance, depth, tries), "a bigint, b bigint, star boolean"))
+    wanted = tc.checkpointed(reps.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("rep").distinct())
+    side = F.broadcast(wanted) if wanted.count() <= 1 << 20 else wanted
+    text = tc.ids_texts(docs).join(side, F.col("doc_id") == F.col("rep"), "left_semi")
+    feats = tc.checkpointed(text.mapInArrow(_features_of, "sig binary, feats binary").select(F.xxhash64("sig").alias("key"), "feats").dropDuplicates(["key"]))
+
+    def similar(p: DataFrame) -> DataFrame:
+        both = p.join(feats.select(F.col("key").alias("b"), F.col("feats").alias("fb")), "b").join(feats.select(F.col("key").alias("a"), F.col("feats").alias("fa")), "a")
+        return both.select("a", "b", "fa", "fb").mapInArrow(_similar(similarity), "a bigint, b bigint")
+
+    # one pair for each text of a node first: other pairs matter only if those left their texts in different components
+    near = tc.checkpointed(tc.components(similar(pairs.where("star").select("a", "b"))))
+    rest = pairs.where("not star").join(near.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    more = similar(rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"))
+    keys = reps.select("key", "rep")
+    edges = near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    edges = edges.join(keys.select(F.col("key").alias("a"), F.col("rep").alias("x")), "a").join(keys.select(F.col("key").alias("b"), F.col("rep").alias("y")), "b").select("x", "y").where("x <> y")
+    same = sigs.join(reps.select("sig", F.col("rep").alias("x")), "sig").select("x", F.col("doc_id").alias("y")).where("x <> y")
+    groups = tc.checkpointed(tc.components(edges.union(same).select(F.col("x").alias("a"), F.col("y").alias("b"))))
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("group_size"))
     return groups.join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), "group_size")
 

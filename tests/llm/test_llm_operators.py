@@ -89,6 +89,25 @@ def test_forest_shape_keeps_recall_at_every_size():
         assert 1 - (1 - p) ** tries >= simhash_forest.RECALL - 1e-9
 
 
+def test_simhash_groups_against_exact_jaccard(spark):
+    r = random.Random(11)
+    texts = []
+    for _ in range(60):
+        base = prose(r, 150).split()
+        copy = list(base)
+        for k in r.sample(range(150), r.choice([8, 12, 16, 20, 60])):
+            copy[k] = "new" + str(r.randrange(10**6))
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [{*w, *zip(w, w[1:])} for w in map(str.split, texts)]
+    near = {(i, i + 1) for i in range(0, 120, 2) if len(sets[i] & sets[i + 1]) >= 0.7 * len(sets[i] | sets[i + 1])}
+    got = {}
+    for x in simhash_forest.near_duplicates(frame(spark, texts)).collect():
+        got.setdefault(x["group_id"], set()).add(x["doc_id"])
+    found = {tuple(sorted(g)) for g in got.values()}
+    assert 20 < len(near) < 60
+    assert found <= near and len(found) >= 0.9 * len(near)
+
+
 def test_line_dedup_against_all_pairs(spark):
     r = random.Random(2)
     base = [prose(r, 12) for _ in range(12)]
