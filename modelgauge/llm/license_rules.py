@@ -2,7 +2,8 @@
 
 Each line of ``TABLE`` is a license with hand-written patterns of its title, its grant or characteristic wording, and its address;
 with the common forms of a grant and of an SPDX tag that makes some 400 rules.  A rule runs on a text only if its keyword is
-there (one Aho-Corasick pass finds all keywords).  Overlapping detections are resolved in order: by priority, then by length,
+there (one Aho-Corasick pass finds the long ones, each text is searched for those of up to three letters), and a grant's
+only if some grant's opening words are there.  Overlapping detections are resolved in order: by priority, then by length,
 then by place, then by rule number; a detection whose interval lies within that of one already accepted, or equals it, goes.
 Detections that merely overlap both stay.
 
@@ -30,7 +31,7 @@ TABLE = rf"""
 Apache-2.0|apache|apache\s+(?:software\s+)?license{V}2(?:\.0)?|unless\s+required\s+by\s+applicable\s+law\s+or\s+agreed\s+to\s+in\s+writing|apache\.org/licenses/license-2\.0
 Apache-1.1|apache|apache\s+(?:software\s+)?license{V}1\.1|this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+apache\s+software\s+foundation|apache\.org/licenses/license-1\.1
 Apache-1.0|apache|apache\s+(?:software\s+)?license{V}1\.0|-|apache\.org/licenses/license-1\.0
-MIT|mit|(?:the\s+)?(?:mit|expat)\s+license|permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy|opensource\.org/licen[sc]es?/mit
+MIT|license|(?:the\s+)?(?:mit|expat)\s+license|permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy|opensource\.org/licen[sc]es?/mit
 MIT-0|mit|mit\s+no\s+attribution(?:\s+license)?|-|opensource\.org/licenses/mit-0
 GPL-3.0|general public license|gnu\s+general\s+public\s+license{V}3(?:\.0)?|either\s+version\s+3\s+of\s+the\s+license,\s+or\s+\(at\s+your\s+option\)\s+any\s+later|gnu\.org/licenses/gpl-3\.0
 GPL-2.0|general public license|gnu\s+general\s+public\s+license{V}2(?:\.0)?|either\s+version\s+2\s+of\s+the\s+license,\s+or\s+\(at\s+your\s+option\)\s+any\s+later|gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
@@ -57,27 +58,27 @@ CDDL-1.0|development and distribution|common\s+development\s+and\s+distribution\
 CDDL-1.1|development and distribution|common\s+development\s+and\s+distribution\s+license(?:\s+\(cddl\))?{V}1\.1|-|glassfish\.(?:java\.net|dev\.java\.net)/public/cddl
 CPL-1.0|common public|common\s+public\s+license{V}1\.0|-|opensource\.org/licenses/cpl1?\.0
 CC0-1.0|cc0|cc0{V}1\.0(?:\s+universal)?|to\s+the\s+extent\s+possible\s+under\s+law,?\s+.{{1,60}}\s+has\s+waived|creativecommons\.org/publicdomain/zero/1\.0
-CC-BY-4.0|by|(?:cc[\s-]by[\s-]4\.0|creative\s+commons\s+attribution\s+4\.0(?:\s+international)?)|-|creativecommons\.org/licenses/by/4\.0
-CC-BY-3.0|by|(?:cc[\s-]by[\s-]3\.0|creative\s+commons\s+attribution\s+3\.0(?:\s+unported)?)|-|creativecommons\.org/licenses/by/3\.0
-CC-BY-2.5|by|(?:cc[\s-]by[\s-]2\.5|creative\s+commons\s+attribution\s+2\.5)|-|creativecommons\.org/licenses/by/2\.5
-CC-BY-2.0|by|(?:cc[\s-]by[\s-]2\.0|creative\s+commons\s+attribution\s+2\.0)|-|creativecommons\.org/licenses/by/2\.0
-CC-BY-SA-4.0|sa|(?:cc[\s-]by-sa[\s-]4\.0|attribution-sharealike\s+4\.0(?:\s+international)?)|-|creativecommons\.org/licenses/by-sa/4\.0
-CC-BY-SA-3.0|sa|(?:cc[\s-]by-sa[\s-]3\.0|attribution-sharealike\s+3\.0(?:\s+unported)?)|-|creativecommons\.org/licenses/by-sa/3\.0
-CC-BY-SA-2.0|sa|(?:cc[\s-]by-sa[\s-]2\.0|attribution-sharealike\s+2\.0)|-|creativecommons\.org/licenses/by-sa/2\.0
-CC-BY-NC-4.0|nc|(?:cc[\s-]by-nc[\s-]4\.0|attribution-noncommercial\s+4\.0(?:\s+international)?)|-|creativecommons\.org/licenses/by-nc/4\.0
-CC-BY-NC-3.0|nc|(?:cc[\s-]by-nc[\s-]3\.0|attribution-noncommercial\s+3\.0(?:\s+unported)?)|-|creativecommons\.org/licenses/by-nc/3\.0
-CC-BY-NC-SA-4.0|nc|(?:cc[\s-]by-nc-sa[\s-]4\.0|attribution-noncommercial-sharealike\s+4\.0)|-|creativecommons\.org/licenses/by-nc-sa/4\.0
-CC-BY-NC-SA-3.0|nc|(?:cc[\s-]by-nc-sa[\s-]3\.0|attribution-noncommercial-sharealike\s+3\.0)|-|creativecommons\.org/licenses/by-nc-sa/3\.0
-CC-BY-ND-4.0|nd|(?:cc[\s-]by-nd[\s-]4\.0|attribution-noderivatives\s+4\.0)|-|creativecommons\.org/licenses/by-nd/4\.0
-CC-BY-NC-ND-4.0|nd|(?:cc[\s-]by-nc-nd[\s-]4\.0|attribution-noncommercial-noderivatives\s+4\.0)|-|creativecommons\.org/licenses/by-nc-nd/4\.0
-CC-BY-NC-ND-3.0|nd|(?:cc[\s-]by-nc-nd[\s-]3\.0|attribution-noncommercial-noderivs\s+3\.0)|-|creativecommons\.org/licenses/by-nc-nd/3\.0
+CC-BY-4.0|4.0|(?:cc[\s-]by[\s-]4\.0|creative\s+commons\s+attribution\s+4\.0(?:\s+international)?)|-|creativecommons\.org/licenses/by/4\.0
+CC-BY-3.0|3.0|(?:cc[\s-]by[\s-]3\.0|creative\s+commons\s+attribution\s+3\.0(?:\s+unported)?)|-|creativecommons\.org/licenses/by/3\.0
+CC-BY-2.5|2.5|(?:cc[\s-]by[\s-]2\.5|creative\s+commons\s+attribution\s+2\.5)|-|creativecommons\.org/licenses/by/2\.5
+CC-BY-2.0|2.0|(?:cc[\s-]by[\s-]2\.0|creative\s+commons\s+attribution\s+2\.0)|-|creativecommons\.org/licenses/by/2\.0
+CC-BY-SA-4.0|4.0|(?:cc[\s-]by-sa[\s-]4\.0|attribution-sharealike\s+4\.0(?:\s+international)?)|-|creativecommons\.org/licenses/by-sa/4\.0
+CC-BY-SA-3.0|3.0|(?:cc[\s-]by-sa[\s-]3\.0|attribution-sharealike\s+3\.0(?:\s+unported)?)|-|creativecommons\.org/licenses/by-sa/3\.0
+CC-BY-SA-2.0|2.0|(?:cc[\s-]by-sa[\s-]2\.0|attribution-sharealike\s+2\.0)|-|creativecommons\.org/licenses/by-sa/2\.0
+CC-BY-NC-4.0|4.0|(?:cc[\s-]by-nc[\s-]4\.0|attribution-noncommercial\s+4\.0(?:\s+international)?)|-|creativecommons\.org/licenses/by-nc/4\.0
+CC-BY-NC-3.0|3.0|(?:cc[\s-]by-nc[\s-]3\.0|attribution-noncommercial\s+3\.0(?:\s+unported)?)|-|creativecommons\.org/licenses/by-nc/3\.0
+CC-BY-NC-SA-4.0|4.0|(?:cc[\s-]by-nc-sa[\s-]4\.0|attribution-noncommercial-sharealike\s+4\.0)|-|creativecommons\.org/licenses/by-nc-sa/4\.0
+CC-BY-NC-SA-3.0|3.0|(?:cc[\s-]by-nc-sa[\s-]3\.0|attribution-noncommercial-sharealike\s+3\.0)|-|creativecommons\.org/licenses/by-nc-sa/3\.0
+CC-BY-ND-4.0|4.0|(?:cc[\s-]by-nd[\s-]4\.0|attribution-noderivatives\s+4\.0)|-|creativecommons\.org/licenses/by-nd/4\.0
+CC-BY-NC-ND-4.0|4.0|(?:cc[\s-]by-nc-nd[\s-]4\.0|attribution-noncommercial-noderivatives\s+4\.0)|-|creativecommons\.org/licenses/by-nc-nd/4\.0
+CC-BY-NC-ND-3.0|3.0|(?:cc[\s-]by-nc-nd[\s-]3\.0|attribution-noncommercial-noderivs\s+3\.0)|-|creativecommons\.org/licenses/by-nc-nd/3\.0
 BSL-1.0|boost|boost\s+software\s+license(?:\s+-)?{V}1\.0|-|boost\.org/license_1_0
 Zlib|zlib|(?:the\s+)?zlib(?:/libpng)?\s+license|this\s+software\s+is\s+provided\s+'as-is',\s+without\s+any\s+express\s+or\s+implied\s+warranty|zlib\.net/zlib_license
 Unlicense|unlicense|the\s+unlicense|this\s+is\s+free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain|unlicense\.org
 WTFPL|public license|do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public\s+license|-|wtfpl\.net
 Artistic-2.0|artistic|artistic\s+license{V}2(?:\.0)?|-|opensource\.org/licenses/artistic-2\.0
 Artistic-1.0|artistic|artistic\s+license{V}1\.0|-|opensource\.org/licenses/artistic-1\.0
-PSF-2.0|python|(?:python\s+software\s+foundation|psf)\s+license(?:\s+agreement)?(?:{V}2)?|-|docs\.python\.org/\d?/?license
+PSF-2.0|license|(?:python\s+software\s+foundation|psf)\s+license(?:\s+agreement)?(?:{V}2)?|-|docs\.python\.org/\d?/?license
 PostgreSQL|postgresql|(?:the\s+)?postgresql\s+licen[sc]e|-|opensource\.org/licenses/postgresql
 OpenSSL|openssl|(?:the\s+)?openssl\s+license|this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+openssl\s+project|openssl\.org/source/license
 PHP-3.01|php|(?:the\s+)?php\s+license{V}3\.01|-|php\.net/license/3_01
@@ -115,6 +116,7 @@ HINTS = (  # a license of unknown version or name
     ("All-Rights-Reserved", "rights reserved", r"all\s+rights\s+reserved"),
 )
 _GRANT = r"(?:this\s+\w+\s+is\s+)?(?:licen[sc]ed|released|distributed|available|provided)\s+(?:under|subject\s+to)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?"
+_ANY_GRANT = re.compile(r"(?:licen[sc]ed|released|distributed|available|provided)\s+(?:under|subject\s+to)\s")  # every grant has it
 
 
 @dataclass(frozen=True)
@@ -176,7 +178,8 @@ def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
 
 def detect(low: str, keywords: set[str]) -> list[tuple[int, int, Rule]]:
     """Detections in a lower-case text that has these keywords."""
-    return resolve([(m.start(), m.end(), r) for r in RULES if r.keyword in keywords for m in r.pattern.finditer(low)])
+    granted = _ANY_GRANT.search(low) is not None
+    return resolve([(m.start(), m.end(), r) for r in RULES if r.keyword in keywords and (granted or r.kind != "grant") for m in r.pattern.finditer(low)])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,17 +189,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gate.add_word(k, k)
     gate.make_automaton()
     short = {r.keyword for r in RULES if len(r.keyword) <= 3}
-    words = ("licen", "spdx", "creativecommons", "public domain", "rights reserved", "cc-by", "cc by", "cc0", "gnu", "w3.org")
     for part, texts in tc.slices(batches):
         ids, rows = [], []
         for doc, text in zip(part.column(0).to_pylist(), texts):
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text) if "İ" in text else text.lower()
-            seen = {k for _, k in gate.iter(low)}
-            if seen or any(w in low for w in words):
-                seen |= {k for k in short if k in low}
-                for b, e, r in detect(low, seen):
-                    ids.append(doc)
-                    rows.append((r.number, r.license, r.kind, b, e))
+            flat = " ".join(low.split())  # a keyword of several words may go over a line's end
+            for b, e, r in detect(low, {k for _, k in gate.iter(flat)} | {k for k in short if k in flat}):
+                ids.append(doc)
+                rows.append((r.number, r.license, r.kind, b, e))
         cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "rule", "license", "kind", "begin_char", "end_char"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -271,6 +272,41 @@ def test_license_gate_and_suppression(spark):
         assert {(i, r.license, r.kind) for _, _, r in license_rules.detect(t.lower(), every)} == {x for x in got if x[0] == i}
 
 
+def example(parsed, branch: int) -> str:
+    """A text that a parsed pattern matches, by the first or last of its alternatives."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "ANY":
+            out += "z"
+        elif name == "IN":
+            kind, value = arg[0]
+            out += {"CATEGORY_SPACE": "\n", "CATEGORY_DIGIT": "3", "CATEGORY_WORD": "z"}[str(value)] if str(kind) == "CATEGORY" else chr(value)
+        elif name == "SUBPATTERN":
+            out += example(arg[3], branch)
+        elif name == "BRANCH":
+            out += example(arg[1][branch], branch)
+        elif name == "MAX_REPEAT":
+            out += example(arg[2], branch) * arg[0]
+        else:
+            assert name == "ASSERT_NOT", name
+    return out
+
+
+def test_license_gate_misses_no_rule(spark):
+    texts = ["Released under MIT.", "Distributed under GPL-3.0.", "available under BSD-3-Clause", "Creative Commons Attribution 4.0", "Attribution-ShareAlike 3.0"]
+    texts += [example(re._parser.parse(r.pattern.pattern, r.pattern.flags & ~re.U), k) for r in license_rules.RULES for k in (0, -1)]
+    want = set()
+    for i, t in enumerate(texts):
+        found = [(m.start(), m.end(), r) for r in license_rules.RULES for m in r.pattern.finditer(t.lower())]
+        assert found
+        want |= {(i, r.number, b, e) for b, e, r in license_rules.resolve(found)}
+    got = {(x["doc_id"], x["rule"], x["begin_char"], x["end_char"]) for x in license_rules.licenses(frame(spark, texts)).collect()}
+    assert got == want
+
+
 def test_ledger_scans_only_what_is_new(spark):
     secret = 'token = "0123456789abcdef0123456789abcdef"'
     docs = frame(spark, [secret, secret, "nothing", None, ""], [1, 2, 3, 4, 5])
