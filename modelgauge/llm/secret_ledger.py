@@ -4,6 +4,8 @@ A version of a document is a blob, named by the SHA-256 of its text.  The ledger
 have been scanned.  `scan` finds the blobs that lack a triple, scans one row of each, by those rules only, and gives
 findings of blobs, and the ledger's new rows; `by_path` joins findings back to all documents (paths) whose text they are in.
 
+The SQL is of the rules ``COMPARED`` alone; the other rules are new names, so every ledger lacks them and blobs are scanned again.
+
 Secrets themselves are never given out, only how often a rule matches.
 
 Defined cases: a null text is no blob and has no finding; an empty one is a blob without findings; a null doc_id is a path like
@@ -29,9 +31,10 @@ class Rule:
     version: int
     keyword: str  # in lower case; a text without it can't match
     pattern: str  # of the syntax that Java and RE2 share
+    unless: str = ""  # a text with it is left to another rule
 
 
-RULES = (
+COMPARED = (
     Rule("assigned_hex", 1, "=", r"(?i)(token|secret|passwd|password|api_?key|access_?key)[ \t]*[:=]+[ \t]*[\"'][0-9a-f]{32,128}[\"']"),
     Rule("assigned_base64", 1, "=", r"(?i)(secret|private_?key|client_?secret)[ \t]*[:=]+[ \t]*[\"'][0-9a-z+/]{40,}={0,2}[\"']"),
     Rule("aws_access_key", 1, "akia", r"AKIA[0-9A-Z]{16}"),
@@ -43,6 +46,16 @@ RULES = (
     Rule("google_api_key", 1, "aiza", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("url_password", 1, "://", r"[a-z][a-z0-9+.-]*://[^/ \n\t:@]+:[^/ \n\t:@]+@"),
 )
+_HEX, _BASE64 = r"[\"'][0-9a-f]{32,128}[\"']", r"[\"'][0-9a-z+/]{40,}={0,2}[\"']"
+_HEX_KEY, _BASE64_KEY = "(token|secret|passwd|password|api_?key|access_?key)", "(secret|private_?key|client_?secret)"
+# the assignments that assigned_hex and assigned_base64 leave out: those of texts without "=", and quoted keys
+RULES = (
+    *COMPARED,
+    Rule("colon_hex", 1, ":", rf"(?i){_HEX_KEY}[ \t]*:+[ \t]*{_HEX}", "="),
+    Rule("colon_base64", 1, ":", rf"(?i){_BASE64_KEY}[ \t]*:+[ \t]*{_BASE64}", "="),
+    Rule("quoted_key_hex", 1, "", rf"(?i){_HEX_KEY}[\"'][ \t]*[:=]+[ \t]*{_HEX}"),
+    Rule("quoted_key_base64", 1, "", rf"(?i){_BASE64_KEY}[\"'][ \t]*[:=]+[ \t]*{_BASE64}"),
+)
 LEDGER = "blob string, rule string, version int"
 
 
@@ -65,7 +78,7 @@ def scan(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) ->
     side = todo.select(F.unhex("blob").alias("_b"), F.col("doc_id").alias("_d"), F.col("todo"))
     side = F.broadcast(side) if todo.count() <= SMALL else side.hint("shuffle_hash")
     unseen = rows.join(side, (F.unhex("blob") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("low", F.lower("text"))
-    hits = [F.when(F.array_contains("todo", f"{r.name}@{r.version}") & F.col("low").contains(r.keyword), F.regexp_count("text", F.lit(r.pattern))).otherwise(0) for r in rules]
+    hits = [F.when(F.array_contains("todo", f"{r.name}@{r.version}") & F.col("low").contains(r.keyword) & (~F.col("low").contains(r.unless) if r.unless else F.lit(True)), F.regexp_count("text", F.lit(r.pattern))).otherwise(0) for r in rules]
     found = unseen.select("blob", F.explode(F.filter(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), h.alias("hits")) for r, h in zip(rules, hits))), lambda x: x["hits"] > 0)).alias("f"))
     new = todo.select("blob", F.explode("todo").alias("t")).select("blob", F.substring_index("t", "@", 1).alias("rule"), F.substring_index("t", "@", -1).cast("int").alias("version"))
     return found.select("blob", "f.rule", "f.version", "f.hits").distinct(), new
@@ -82,7 +95,7 @@ def _sql() -> str:
     def quoted(p: str) -> str:
         return "'" + p.replace("'", "''") + "'"
 
-    one = [f"select doc_id, blob, '{r.name}' as rule, {r.version} as version, len(regexp_extract_all(text, {quoted(r.pattern)})) as hits from b where contains(lower(text), '{r.keyword}')" for r in RULES]
+    one = [f"select doc_id, blob, '{r.name}' as rule, {r.version} as version, len(regexp_extract_all(text, {quoted(r.pattern)})) as hits from b where contains(lower(text), '{r.keyword}')" for r in COMPARED]
     return "with b as (select distinct doc_id, sha256(text) as blob, text from documents where text is not null), f as (" + " union all ".join(one) + ") select doc_id, blob, rule, cast(version as int) as version, cast(hits as int) as hits from f where hits > 0"
 
 

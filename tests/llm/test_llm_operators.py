@@ -320,6 +320,17 @@ def test_ledger_scans_only_what_is_new(spark):
     assert third.count() == 1 and some.count() == 3
 
 
+def test_ledger_finds_secrets_after_colons(spark):
+    h, b = "0123456789abcdef" * 2, "Ab1+" * 10
+    texts = [f"password: '{h}'", f'api_key: "{h}"', f'{{"token": "{h}"}}', f'x = 1 {{"client_secret": "{b}"}}', f"private_key: '{b}'", f"a = 1, token: '{h}'", f"token = '{h}'", "token: none"]
+    docs = frame(spark, texts)
+    old = docs.selectExpr("sha2(text, 256) as blob").crossJoin(spark.createDataFrame([(r.name, r.version) for r in secret_ledger.COMPARED], "rule string, version int"))
+    want = {(0, "colon_hex"), (1, "colon_hex"), (2, "quoted_key_hex"), (3, "quoted_key_base64"), (4, "colon_base64"), (5, "assigned_hex"), (6, "assigned_hex")}
+    for ledger, rules in ((secret_ledger.empty_ledger(spark), want), (old, {x for x in want if x[1] != "assigned_hex"})):
+        got = secret_ledger.by_path(docs, secret_ledger.scan(docs, ledger)[0]).collect()
+        assert {(x["doc_id"], x["rule"]) for x in got} == rules and all(x["hits"] == 1 for x in got)
+
+
 def test_host_prior_shrinks_small_hosts(spark):
     rows = [("good", 0)] * 50 + [("bad", 1)] * 50 + [("tiny", 1)]
     flags = spark.createDataFrame([(h, f, 0, 0, 0, 0) for h, f in rows], "host string, " + ", ".join(f"{r} int" for r in host_rules.RULES))
