@@ -2,16 +2,23 @@
 
 A line is compared by its normal form (lower case, white space collapsed).  Lines with equal normal forms are the same.
 Lines with at least ``SHINGLE`` bytes also are the same if the Jaccard similarity of their sets of byte ``SHINGLE``-grams is
-``SIMILARITY`` or more: ``BANDS`` bands of ``ROWS`` minima each propose pairs (at similarity 0.8 a pair shares a band with a
-probability of 0.995), every proposed pair is verified exactly, and distributed union-find joins the verified ones.
+``SIMILARITY`` or more.  The threshold lies in the valley between unrelated and near lines, so that one changed letter in a
+line of 30 bytes still makes a near line.  ``BANDS`` bands of ``ROWS`` minima each propose pairs: a pair at the threshold
+itself shares a band with a probability of 0.90, one at 0.5 of 0.96, one at 0.6 of 0.997.  Proposed pairs are verified exactly,
+and distributed union-find joins the verified ones.  Pairs of a band's first line come first; another pair of the band is
+verified only if those left its lines in different components, since otherwise it can't change a component.
 Of each component the line of least (doc_id, text hash, line number) stays; a null doc_id comes first.
 
-Between the passes only hashes move: which lines need verifying is told to the second pass by a Bloom filter of fixed
-size, and only their texts are shuffled.
+Between the passes only hashes move, packed: a task sends each bucket of bands one row of arrays, so the shuffle moves few
+large rows, and a line counts once a task however often it occurs.  The lines of a band of more than ``BLOCK`` are worked
+off in pairs of blocks, which are rows of their own, so no task holds or compares a whole hot band.  Which lines need
+verifying is told to the second pass by a Bloom filter of fixed size, and only their texts are shuffled.
 
-Defined cases: blank lines are never removed; a null text has no lines; rows with the same doc_id and text are one document
-and lose the same lines; a document all of whose lines go keeps its row, with an empty text; an empty table gives an
-empty result; only doc_id and text are read (`deduplicated` keeps all columns).
+Defined cases: blank lines are never removed; a null text has no lines; a line of any length, and a text of any length, is read
+whole; rows with the same doc_id and text are one document and lose the same lines, rows with the same doc_id and other
+texts are documents of their own; equal lines within a text go but for the first; a document all of whose lines go keeps
+its row, with an empty text; an empty table gives an empty result; only doc_id and text are read, and `deduplicated` keeps all
+other columns, whatever their names (n_chars, if there is one, follows the text).
 """
 
 from __future__ import annotations
@@ -19,14 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelgauge.llm import textcore as tc
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.75, 10, 4
+SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 8, 0.45, 24, 3, 4096
 _A = np.random.default_rng(11).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(12).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
@@ -44,24 +50,16 @@ class Lines:
             for k, line in enumerate(t.split("\n")):
                 if n := normal(line):
                     self.text.append(i), self.no.append(k), self.norm.append(n.encode("utf-8", "surrogatepass"))
-        size = np.fromiter(map(len, self.norm), dtype=np.int64, count=len(self.norm))
-        self.at = np.concatenate([[0], np.cumsum(size + 1)])
-        self.buf = np.frombuffer(b"\n".join([*self.norm, b""]), dtype=np.uint8)
-        p, inv = tc.powers(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * p[: len(self.buf)], out=total[1:])
-        self.total, self.inv, self.size = total, inv, size
-        self.hash = tc.mix((total[self.at[:-1] + size] - total[self.at[:-1]]) * inv[self.at[:-1]])
+        self.bytes = Joined(self.norm)
+        self.hash = self.bytes.hash
 
     def bands(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of line, band) of the chosen lines that have shingles."""
-        use = chosen[self.size[chosen] >= SHINGLE]
+        use = chosen[self.bytes.size[chosen] >= SHINGLE]
         if not len(use):
             return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        n = self.size[use] - SHINGLE + 1
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        at = np.arange(n.sum()) - np.repeat(first - self.at[:-1][use], n)
-        h = (tc.mix((self.total[at + SHINGLE] - self.total[at]) * self.inv[at]) >> np.uint64(32)).astype(np.uint32)
+        wide, first = self.bytes.shingles(use)
+        h = (wide >> np.uint64(32)).astype(np.uint32)
         out = []
         for band in range(BANDS):
             key = np.full(len(use), band, dtype=np.uint64)
@@ -71,12 +69,59 @@ class Lines:
         return np.tile(self.hash[use], BANDS), np.concatenate(out)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in tc.slices(batches, size=1 << 17):
-        x = Lines(texts)
-        _, chosen = np.unique(x.hash, return_index=True)
-        line, band = x.bands(chosen)
-        yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(line.view(np.int64))], names=["band", "line"])
+class Joined:
+    """Byte strings in one buffer: sizes, hashes, and the hashes of their shingles."""
+
+    def __init__(self, norm: list[bytes]):
+        self.size = np.fromiter(map(len, norm), dtype=np.int64, count=len(norm))
+        self.at = np.concatenate([[0], np.cumsum(self.size + 1)])
+        buf = np.frombuffer(b"\n".join([*norm, b""]), dtype=np.uint8)
+        p, self.inv = tc.powers(len(buf) + 1)
+        self.total = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=self.total[1:])
+        self.hash = tc.mix((self.total[self.at[:-1] + self.size] - self.total[self.at[:-1]]) * self.inv[self.at[:-1]])
+
+    def shingles(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all shingles of the strings `use`, each of at least SHINGLE bytes, and where each string's begin."""
+        n = self.size[use] - SHINGLE + 1
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        at = np.arange(n.sum()) - np.repeat(first - self.at[:-1][use], n)
+        return tc.mix((self.total[at + SHINGLE] - self.total[at]) * self.inv[at]), first
+
+
+def _bands(log2_buckets: int):
+    """(bucket, keys, lines): the bands of a run of texts, one row a bucket; a bucket is the high bits of a band, keys are the next 32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.empty(0, dtype=np.uint64)  # a line met before in this task has given its bands
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            line, band = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            order = np.argsort(band, kind="stable")
+            line, band = line[order], band[order]
+            bucket = (band >> np.uint64(64 - log2_buckets)).astype(np.int64)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            key = (band >> np.uint64(32 - log2_buckets)).astype(np.uint32)
+            spans = list(zip(cut[:-1], cut[1:])) if len(bucket) else []
+            cols = [pa.array(bucket[cut[:-1]] if spans else bucket), pa.array([key[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([line[s:e].tobytes() for s, e in spans], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["bucket", "keys", "lines"])
+
+        for _, texts in tc.slices(batches, size=1 << 17):
+            x = Lines(texts)
+            h, first = np.unique(x.hash, return_index=True)
+            new = np.ones(len(h), dtype=bool)
+            if len(seen) and len(h):
+                new = seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h
+            held.append(x.bands(first[new]))
+            seen = np.union1d(seen, h[new]) if len(seen) < 1 << 22 else h
+            if sum(len(h[0]) for h in held) > 1 << 21:
+                yield rows()
+                held = []
+        if held:
+            yield rows()
+
+    return run
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,36 +131,88 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), pa.array(x.no, pa.int32()), pa.array(x.hash.view(np.int64))], names=["doc_id", "text_hash", "line_no", "line"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of different lines of each band, and whether the first is the band's least; rows come sorted by band and line."""
+def blocks(members: np.ndarray, block: int) -> Iterator[np.ndarray]:
+    """Sets of at most two blocks of members that together hold every pair of them."""
+    parts = [members[s : s + block] for s in range(0, len(members), block)]
+    if len(parts) == 1:
+        yield members
+    for j in range(1, len(parts)):
+        for i in range(j):
+            yield np.concatenate([parts[i], parts[j]])
+
+
+def _groups(block: int):
+    """(a, b, members) of sorted buckets: a band's first line with each other one, and bands of three lines and more as sets."""
+
+    def whole(keys: np.ndarray, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((lines, keys))
+        keys, lines = keys[order], lines[order]
+        once = np.ones(len(keys), dtype=bool)
+        once[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
+        keys, lines = keys[once], lines[once].view(np.int64)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+        size = np.diff(cut)
+        head = np.repeat(lines[cut[:-1]], size)
+        rest = np.ones(len(lines), dtype=bool)
+        rest[cut[:-1]] = False
+        pair = np.unique(np.stack([head[rest], lines[rest]], 1), axis=0) if rest.any() else np.empty((0, 2), np.int64)
+        sets = {m.tobytes() for k in np.flatnonzero(size > 2) for m in blocks(lines[cut[k] : cut[k + 1]], block)}
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.nulls(len(pair), pa.binary())], names=["a", "b", "members"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64()), pa.array(list(sets), pa.binary())], names=["a", "b", "members"])
 
-    def pairs(line: np.ndarray) -> Iterator[pa.RecordBatch]:
-        line = np.unique(line)
-        step = max(1, (1 << 20) // max(1, len(line)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        last = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held[0]:
+                yield from whole(np.frombuffer(b"".join(held[0]), dtype=np.uint32), np.frombuffer(b"".join(held[1]), dtype=np.uint64))
+
+        for batch in batches:
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket != last:
+                    yield from flush()
+                    held, last = ([], []), bucket
+                held[0].append(batch.column(1)[i].as_py()), held[1].append(batch.column(2)[i].as_py())
+        yield from flush()
+
+    return run
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gid, line) of sets of lines; sets that are equal share their gid."""
+    for batch in batches:
+        sets = [np.frombuffer(m, dtype=np.int64) for m in batch.column(0).to_pylist()]
+        if not sets:
+            continue
+        size = [len(s) for s in sets]
+        line = np.concatenate(sets)
+        gid = np.add.reduceat(tc.mix(line.view(np.uint64)), np.concatenate([[0], np.cumsum(size)[:-1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid.view(np.int64), size)), pa.array(line)], names=["gid", "line"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of lines (gid, line, root) of one set that are in different components; rows come sorted by gid."""
+
+    def pairs(line: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(line) < 2 or (root == root[0]).all():
+            return
+        step = max(1, (1 << 20) // len(line))
         for s in range(0, len(line) - 1, step):
-            i, j = np.nonzero(np.arange(s, min(s + step, len(line)))[:, None] < np.arange(len(line))[None, :])
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(line[i + s]), pa.array(line[j]), pa.array(i + s == 0)], names=["a", "b", "star"])
+            i, j = np.nonzero((root[s : s + step, None] != root[None, :]) & (np.arange(s, min(s + step, len(line)))[:, None] < np.arange(len(line))[None, :]))
+            a, b = line[i + s], line[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    rest_band, rest_line = np.empty(0, np.int64), np.empty(0, np.int64)
+    kept = [np.empty(0, np.int64)] * 3
     for batch in batches:
         if not batch.num_rows:
             continue
-        band = np.concatenate([rest_band, batch.column(0).to_numpy()])
-        line = np.concatenate([rest_line, batch.column(1).to_numpy()])
-        cut = np.flatnonzero(np.diff(band)) + 1
-        last = cut[-1] if len(cut) else 0
-        rest_band, rest_line = band[last:], line[last:]
-        ends = np.concatenate([[0], cut])
-        size = np.diff(ends)
-        two = ends[:-1][size == 2]
-        a, b = line[two], line[two + 1]
-        on = a != b
-        if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.array(np.ones(on.sum(), dtype=bool))], names=["a", "b", "star"])
-        for k in np.flatnonzero(size > 2):
-            yield from pairs(line[ends[k] : ends[k + 1]])
-    yield from pairs(rest_line)
+        gid, line, root = (np.concatenate([k, batch.column(c).to_numpy()]) for c, k in enumerate(kept))
+        cut = [0, *(np.flatnonzero(np.diff(gid)) + 1)]
+        for s, e in zip(cut, cut[1:]):
+            yield from pairs(line[s:e], root[s:e])
+        kept = [x[cut[-1] :] for x in (gid, line, root)]
+    yield from pairs(kept[1], kept[2])
 
 
 def _texts(bloom: np.ndarray):
@@ -138,53 +235,76 @@ def jaccard(a: frozenset[bytes], b: frozenset[bytes]) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def similarities(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """The Jaccard similarity of the shingle sets of each pair, by one sort of the shingles of all."""
+    names: dict[bytes, int] = {}
+    i, j = (np.array([names.setdefault(s, len(names)) for s in side], dtype=np.int64) for side in (x, y))
+    own = Joined(list(names))
+    h, first = own.shingles(np.arange(len(names)))
+    ends = np.concatenate([first, [len(h)]])
+    line = np.repeat(np.arange(len(names)), np.diff(ends))
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    once = np.ones(len(h), dtype=bool)
+    once[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    h, line = h[once], line[once]
+    at = np.searchsorted(line, np.arange(len(names) + 1))
+    n = np.diff(at)
+    both = np.zeros(len(x), dtype=np.int64)
+    weight = np.cumsum(n[i] + n[j])
+    s = 0
+    while s < len(x):
+        e = max(s + 1, int(np.searchsorted(weight, (weight[s - 1] if s else 0) + (1 << 20), side="right")))
+        pair = np.concatenate([np.repeat(np.arange(s, e), n[k[s:e]]) for k in (i, j)])
+        begin = np.concatenate([at[k[s:e]] for k in (i, j)])
+        size = np.concatenate([n[k[s:e]] for k in (i, j)])
+        take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)
+        key = np.sort(tc.mix(h[take] ^ tc.mix(pair.astype(np.uint64) + np.uint64(1 << 40))) & np.uint64((1 << 64) - (1 << 22)) | (pair - s).astype(np.uint64))
+        same = key[1:] == key[:-1]
+        both[s:e] = np.bincount((key[1:][same] & np.uint64((1 << 22) - 1)).astype(np.int64), minlength=e - s)
+        s = e
+    return both / np.maximum(1, n[i] + n[j] - both)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, norm_a, norm_b): a line's shingles are kept for the pairs that follow, up to a bound of memory."""
-    sets: dict[int, frozenset[bytes]] = {}
-    held = 0
+    """Rows (a, b, norm_a, norm_b): those whose sets of shingles are similar; a shingle hash is 42 bits within a pair."""
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = np.zeros(len(a), dtype=bool)
-        for i in range(len(a)):
-            pair = []
-            for line, norm in ((a[i], 2), (b[i], 3)):
-                if (s := sets.get(line)) is None:
-                    s = sets[line] = shingle_set(batch.column(norm)[i].as_py())
-                    held += len(s)
-                pair.append(s)
-            x, y = pair
-            keep[i] = min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) and jaccard(x, y) >= SIMILARITY
-            if held > 1_000_000:
-                sets, held = {}, 0
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-
-def similar_lines(docs: DataFrame) -> DataFrame:
+        for s in range(0, batch.num_rows, 4096):
+            part = batch.slice(s, 4096)
+            if part.num_rows:
+                yield part.select(["a", "b"]).filter(pa.array(similarities(part.column(2).to_pylist(), part.column(3).to_pylist()) >= SIMILARITY))
+
+
+def similar_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(line, root): the component of each line that is similar to another one."""
     text = tc.ids_texts(docs)
-    bands = text.mapInArrow(_bands, "band bigint, line bigint")
-    all_pairs = bands.repartition("band").sortWithinPartitions("band", "line").mapInArrow(_pairs, "a bigint, b bigint, star boolean")
-    pairs = tc.checkpointed(all_pairs.groupBy("a", "b").agg(F.max("star").alias("star")))
-    bloom = tc.bloom_words(pairs.select(F.explode(F.array("a", "b")).alias("line")), "line")
+    log2_buckets = max(10, (8 * text.rdd.getNumPartitions()).bit_length())
+    packed = text.mapInArrow(_bands(log2_buckets), "bucket bigint, keys binary, lines binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = tc.checkpointed(packed.mapInArrow(_groups(block), "a bigint, b bigint, members binary"))
+    stars = tc.checkpointed(found.where("members is null").select("a", "b").distinct())
+    member = tc.checkpointed(found.where("members is not null").select("members").mapInArrow(_members, "gid bigint, line bigint").distinct())
+    lines = stars.select(F.explode(F.array("a", "b")).alias("line"))
+    bloom = tc.bloom_words(lines, "line")
     shared = text.sparkSession.sparkContext.broadcast(bloom)
     norms = tc.checkpointed(text.mapInArrow(lambda it: _texts(shared.value)(it), "line bigint, norm binary").dropDuplicates(["line"]))
 
     def verified(p: DataFrame) -> DataFrame:
-        both = p.join(norms.select(F.col("line").alias("b"), F.col("norm").alias("nb")), "b").join(norms.select(F.col("line").alias("a"), F.col("norm").alias("na")), "a")
+        both = p.join(norms.select(F.col("line").alias("a"), F.col("norm").alias("na")), "a").join(norms.select(F.col("line").alias("b"), F.col("norm").alias("nb")), "b")
         return both.select("a", "b", "na", "nb").mapInArrow(_verified, "a bigint, b bigint")
 
-    # pairs with the least line of a band first: other pairs matter only if those left their lines in different components
-    near = tc.checkpointed(tc.components(verified(pairs.where("star").select("a", "b"))))
-    rest = pairs.where("not star").join(near.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    more = verified(rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"))
-    edges = near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    near = tc.checkpointed(tc.components(verified(stars)))
+    rooted = member.join(near.select(F.col("node").alias("line"), "root"), "line", "left").select("gid", "line", F.coalesce("root", "line").alias("root"))
+    rooted = tc.checkpointed(rooted.repartition("gid"))
+    split = rooted.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
+    rest = rooted.join(split, "gid", "left_semi").repartition("gid").sortWithinPartitions("gid").mapInArrow(_across, "a bigint, b bigint").distinct()
+    edges = near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(rest.join(stars, ["a", "b"], "left_anti")))
     return tc.components(edges).select(F.col("node").alias("line"), "root")
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_hash, line_no, kept_doc_id, kept_line_no) of each line that goes, with the one that stays for it."""
     lines = tc.ids_texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(_occurrences, "doc_id bigint, text_hash bigint, line_no int, line bigint")
-    keyed = lines.join(similar_lines(docs), "line", "left").select("doc_id", "text_hash", "line_no", F.coalesce("root", "line").alias("key"))
+    keyed = lines.join(similar_lines(docs, block), "line", "left").select("doc_id", "text_hash", "line_no", F.coalesce("root", "line").alias("key"))
     keyed = tc.checkpointed(keyed)
     firsts = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     gone = keyed.join(firsts, "key").where("not (struct(doc_id, text_hash, line_no) <=> kept)")
@@ -193,11 +313,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with those lines taken out of text; n_chars follows, if there is such a column."""
-    gone = duplicate_lines(docs).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_list("line_no").alias("_gone"))
-    old = docs.withColumn("_key", F.xxhash64("text"))
-    out = old.join(gone, old["doc_id"].cast("bigint").eqNullSafe(F.col("_d")) & (old["_key"] == F.col("_h")), "left")
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    gone = duplicate_lines(docs).groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("lines")).select(F.struct("doc_id", "text_hash").alias("b"), "lines")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).alias("a"))
+    out = whole.join(gone, F.col("a").eqNullSafe(F.col("b")), "left")
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
+    new = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(kept)
+    cols = {c: F.col("row").getField(c) for c in docs.columns} | {"text": new}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return out.select(docs.columns)
+        cols["n_chars"] = F.when(F.col("lines").isNull(), F.col("row.n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(cols[c].alias(c) for c in docs.columns))
