@@ -83,11 +83,43 @@ def test_simhash_forest_against_all_pairs(spark):
     assert set(got) <= near
 
 
-def test_forest_shape_keeps_recall_at_every_size():
-    for n in (2, 1000, 10**6, 10**9):
-        depth, tries = simhash_forest.forest_shape(n)
-        p = math.prod((220 - i) / (256 - i) for i in range(depth))
-        assert 1 - (1 - p) ** tries >= simhash_forest.RECALL - 1e-9
+def test_forest_adapts_to_density_and_climbs():
+    r = np.random.default_rng(4)
+    loose = r.integers(0, 1 << 63, (3000, 4)).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, (3000, 4)).astype(np.uint64)
+    flips = np.packbits(r.random((3000, 256)) < 0.02, axis=1).view(np.uint64)
+    sigs = np.concatenate([loose, loose[:1] ^ flips])  # 3000 far apart, 3000 within some 10 bits
+    label = simhash_forest.labels(sigs)
+    counts = np.stack([np.bincount(label[:, t], minlength=1 << simhash_forest.DEEP) for t in range(simhash_forest.TRIES)])
+    dense = simhash_forest.density(counts)
+    assert (dense[:, 1] == 6000).all()
+    leaf = simhash_forest.leaves(label, dense, 64)
+    assert leaf[3001:].mean() > leaf[:3000].mean() + 3
+    up = simhash_forest.climbed(leaf, simhash_forest.DISTANCE, simhash_forest.RECALL)
+    assert (up <= leaf).all()
+
+    def recall(depth):
+        return 1 - np.prod(1 - np.array([simhash_forest.shared(d, simhash_forest.DISTANCE) for d in range(simhash_forest.DEEP + 1)])[depth], axis=1)
+
+    short = recall(leaf) < simhash_forest.RECALL
+    assert short[3001:].mean() > 0.8 and ((up < leaf).any(1) == short).all() and (recall(up) >= simhash_forest.RECALL - 1e-6).all()
+
+
+@pytest.mark.parametrize(("node", "hot"), [(4, 1 << 15), (4, 16), (64, 8)])
+def test_forest_on_dense_and_sparse_corpora(spark, node, hot):
+    """Groups by the forest against all pairs, with nodes cut deeply, climbing, and hot nodes in pairs of blocks."""
+    r = random.Random(21)
+    base = prose(r, 100).split()
+    texts = [prose(r, 100) for _ in range(60)]
+    for _ in range(60):
+        copy = list(base)
+        for k in r.sample(range(100), r.choice([2, 4, 8])):
+            copy[k] = f"odd{r.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [{*w, *zip(w, w[1:])} for w in map(str.split, texts)]
+    want = {(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])}
+    got = {x["doc_id"]: x["group_id"] for x in simhash_forest.near_duplicates(frame(spark, texts), node=node, hot=hot, small=0).collect()}
+    assert len(want) > 500 and sum(got.get(i, -1) == got.get(j, -2) for i, j in want) >= 0.97 * len(want)
+    assert set(got) <= {i for p in want for i in p}
 
 
 def test_simhash_groups_against_exact_jaccard(spark):
