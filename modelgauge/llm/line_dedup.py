@@ -3,10 +3,12 @@
 A line is compared by its normal form (lower case, white space collapsed).  Lines with equal normal forms are the same.
 Lines with at least ``SHINGLE`` bytes also are the same if the Jaccard similarity of their sets of byte ``SHINGLE``-grams is
 ``SIMILARITY`` or more.  The threshold lies in the valley between unrelated and near lines, so that one changed letter in a
-line of 30 bytes still makes a near line.  ``BANDS`` bands of ``ROWS`` minima each propose pairs: a pair at the threshold
-itself shares a band with a probability of 0.90, one at 0.5 of 0.96, one at 0.6 of 0.997.  Proposed pairs are verified exactly,
-and distributed union-find joins the verified ones.  Pairs of a band's first line come first; another pair of the band is
-verified only if those left its lines in different components, since otherwise it can't change a component.
+line of 30 bytes still makes a near line.  ``BANDS`` bands of ``ROWS`` of ``MINIMA`` minima each propose pairs: a pair of
+similarity 0.45 shares a band with a probability of 0.59, one of 0.5 of 0.75, one of 0.55 of 0.87, one of 0.6 of 0.95, one of 0.7
+of 0.997 (bands of three rows, for 0.9 at 0.45 itself, propose five times as many pairs: see the README for what that costs).
+Proposed pairs are verified exactly, after a bound that is never too low, and distributed union-find joins the verified ones.
+Pairs of a band's first line come first; another pair of the band is verified only if those left its lines in different
+components, since otherwise it can't change a component.
 Of each component the line of least (doc_id, text hash, line number) stays; a null doc_id comes first.
 
 Between the passes only hashes move, packed: a task sends each bucket of bands one row of arrays, so the shuffle moves few
@@ -32,9 +34,27 @@ from pyspark.sql import functions as F
 
 from modelgauge.llm import textcore as tc
 
-SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 8, 0.45, 24, 3, 4096
-_A = np.random.default_rng(11).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = np.random.default_rng(12).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+SHINGLE, SIMILARITY, MINIMA, BANDS, ROWS, BLOCK = 8, 0.45, 64, 24, 4, 4096
+_A = np.random.default_rng(11).integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = np.random.default_rng(12).integers(0, 1 << 32, MINIMA, dtype=np.uint32)
+
+
+def _design() -> list[list[int]]:
+    """The minima of each band: all are used about equally often, and no two together in more than one band."""
+    r = np.random.default_rng(13)
+    used, together, out = np.zeros(MINIMA), set(), []
+    while len(out) < BANDS:
+        band = sorted(np.argsort(used + r.random(MINIMA) * 0.9)[:ROWS].tolist())
+        pairs = {(a, b) for a in band for b in band if a < b}
+        if not pairs & together:
+            used[band] += 1
+            together |= pairs
+            out.append(band)
+    return out
+
+
+DESIGN = _design()
+_MIX = np.random.default_rng(14).integers(0, 1 << 62, (ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def normal(line: str) -> str:
@@ -60,13 +80,16 @@ class Lines:
             return np.empty(0, np.uint64), np.empty(0, np.uint64)
         wide, first = self.bytes.shingles(use)
         h = (wide >> np.uint64(32)).astype(np.uint32)
-        out = []
-        for band in range(BANDS):
-            key = np.full(len(use), band, dtype=np.uint64)
-            for k in range(band * ROWS, band * ROWS + ROWS):
-                key = tc.mix(key ^ (np.minimum.reduceat((h ^ _B[k]) * _A[k], first).astype(np.uint64) << np.uint64(13)))
-            out.append(key)
-        return np.tile(self.hash[use], BANDS), np.concatenate(out)
+        low, some = np.empty((MINIMA, len(use)), dtype=np.uint64), np.empty_like(h)
+        for k in range(MINIMA):
+            np.bitwise_xor(h, _B[k], out=some)
+            np.multiply(some, _A[k], out=some)
+            low[k] = np.minimum.reduceat(some, first)
+        low = tc.mix(low)
+        out = np.empty((BANDS, len(use)), dtype=np.uint64)
+        for band, ks in enumerate(DESIGN):
+            out[band] = (low[ks] * _MIX).sum(0) + np.uint64(band)
+        return np.tile(self.hash[use], BANDS), tc.mix(out).ravel()
 
 
 class Joined:
@@ -93,7 +116,7 @@ def _bands(log2_buckets: int):
     """(bucket, keys, lines): the bands of a run of texts, one row a bucket; a bucket is the high bits of a band, keys are the next 32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, dtype=np.uint64)  # a line met before in this task has given its bands
+        seen: set[int] = set()  # a line met before in this task has given its bands
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows() -> pa.RecordBatch:
@@ -107,14 +130,14 @@ def _bands(log2_buckets: int):
             cols = [pa.array(bucket[cut[:-1]] if spans else bucket), pa.array([key[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([line[s:e].tobytes() for s, e in spans], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["bucket", "keys", "lines"])
 
-        for _, texts in tc.slices(batches, size=1 << 17):
+        for _, texts in tc.slices(batches, size=1 << 15):
             x = Lines(texts)
             h, first = np.unique(x.hash, return_index=True)
-            new = np.ones(len(h), dtype=bool)
-            if len(seen) and len(h):
-                new = seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h
-            held.append(x.bands(first[new]))
-            seen = np.union1d(seen, h[new]) if len(seen) < 1 << 22 else h
+            names = h.tolist()
+            held.append(x.bands(first[[n not in seen for n in names]] if names else first))
+            if len(seen) > 1 << 20:
+                seen = set()
+            seen.update(names)
             if sum(len(h[0]) for h in held) > 1 << 21:
                 yield rows()
                 held = []
@@ -235,14 +258,30 @@ def jaccard(a: frozenset[bytes], b: frozenset[bytes]) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def similarities(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """The Jaccard similarity of the shingle sets of each pair, by one sort of the shingles of all."""
+def similar(x: list[bytes], y: list[bytes], least: float = SIMILARITY, width: int = 2048) -> np.ndarray:
+    """Whether the Jaccard similarity of the shingle sets of each pair is at least `least`.
+
+    Each set is first folded into `width` bits.  What two sets share is at most the bits that they share and what one of them
+    lost in folding, which settles most pairs; the shingles of the rest are sorted, all at once, and counted.
+    """
     names: dict[bytes, int] = {}
     i, j = (np.array([names.setdefault(s, len(names)) for s in side], dtype=np.int64) for side in (x, y))
-    own = Joined(list(names))
-    h, first = own.shingles(np.arange(len(names)))
-    ends = np.concatenate([first, [len(h)]])
-    line = np.repeat(np.arange(len(names)), np.diff(ends))
+    h, first = Joined(list(names)).shingles(np.arange(len(names)))
+    n = np.diff(np.concatenate([first, [len(h)]]))
+    line = np.repeat(np.arange(len(names)), n)
+    bits = np.zeros((len(names), width), dtype=bool)
+    bits[line, (h & np.uint64(width - 1)).astype(np.int64)] = True
+    folded = np.packbits(bits, axis=1).view(np.uint64)
+    ones = np.bitwise_count(folded).sum(1, dtype=np.int64)
+    most = np.bitwise_count(folded[i] & folded[j]).sum(1, dtype=np.int64) + np.minimum(n[i] - ones[i], n[j] - ones[j])
+    out = most >= least * (ones[i] + ones[j] - most) - 1e-9
+    open_ = np.flatnonzero(out)
+    if not len(open_):
+        return out
+    i, j = i[open_], j[open_]
+    need = np.zeros(len(names), dtype=bool)
+    need[i] = need[j] = True
+    h, line = h[need[line]], line[need[line]]
     order = np.lexsort((h, line))
     h, line = h[order], line[order]
     once = np.ones(len(h), dtype=bool)
@@ -250,29 +289,31 @@ def similarities(x: list[bytes], y: list[bytes]) -> np.ndarray:
     h, line = h[once], line[once]
     at = np.searchsorted(line, np.arange(len(names) + 1))
     n = np.diff(at)
-    both = np.zeros(len(x), dtype=np.int64)
+    both = np.zeros(len(i), dtype=np.int64)
     weight = np.cumsum(n[i] + n[j])
     s = 0
-    while s < len(x):
+    while s < len(i):
         e = max(s + 1, int(np.searchsorted(weight, (weight[s - 1] if s else 0) + (1 << 20), side="right")))
+        e = min(e, s + (1 << 13))
         pair = np.concatenate([np.repeat(np.arange(s, e), n[k[s:e]]) for k in (i, j)])
         begin = np.concatenate([at[k[s:e]] for k in (i, j)])
         size = np.concatenate([n[k[s:e]] for k in (i, j)])
         take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)
-        key = np.sort(tc.mix(h[take] ^ tc.mix(pair.astype(np.uint64) + np.uint64(1 << 40))) & np.uint64((1 << 64) - (1 << 22)) | (pair - s).astype(np.uint64))
+        key = np.sort(h[take] & np.uint64((1 << 64) - (1 << 13)) | (pair - s).astype(np.uint64))
         same = key[1:] == key[:-1]
-        both[s:e] = np.bincount((key[1:][same] & np.uint64((1 << 22) - 1)).astype(np.int64), minlength=e - s)
+        both[s:e] = np.bincount((key[1:][same] & np.uint64((1 << 13) - 1)).astype(np.int64), minlength=e - s)
         s = e
-    return both / np.maximum(1, n[i] + n[j] - both)
+    out[open_] = both >= least * (n[i] + n[j] - both) - 1e-9
+    return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, norm_a, norm_b): those whose sets of shingles are similar; a shingle hash is 42 bits within a pair."""
+    """Rows (a, b, norm_a, norm_b): those whose sets of shingles are similar."""
     for batch in batches:
         for s in range(0, batch.num_rows, 4096):
             part = batch.slice(s, 4096)
             if part.num_rows:
-                yield part.select(["a", "b"]).filter(pa.array(similarities(part.column(2).to_pylist(), part.column(3).to_pylist()) >= SIMILARITY))
+                yield part.select(["a", "b"]).filter(pa.array(similar(part.column(2).to_pylist(), part.column(3).to_pylist())))
 
 
 def similar_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
