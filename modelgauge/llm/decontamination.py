@@ -13,22 +13,26 @@ shingles wide as the item, contains at least ``CONTAINMENT`` of the item's disti
 
 Defined cases: null or too short texts (fewer words than a shingle) of either table match nothing; items shorter than a
 shingle are left out; items with equal texts are each reported; rows that share a doc_id are judged apart and give one
-row per (doc_id, item_id), the best; null ids match nothing; empty tables give an empty result.
+row per (doc_id, item_id), the best, of windows that tie the one that begins first; repeated rows count once; `contaminated`
+has no row for null ids, while `clean` judges texts, so a row that leaks goes whatever its doc_id, and one that doesn't
+stays; texts of any length are read whole; empty tables give an empty result; only the id and text are read, so extra
+columns, whatever their names, don't matter, and `clean` keeps them.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modelgauge.llm import textcore as tc
-from modelgauge.llm.simhash_forest import without_ids
 from modelgauge.shipping import ship
 
 SHINGLE, CONTAINMENT, SMALL = 3, 0.6, 1 << 22
@@ -81,7 +85,7 @@ def _best_window(share: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINMENT, n: int = SHINGLE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINMENT, n: int = SHINGLE, small: int = SMALL) -> DataFrame:
     """(doc_id, item_id, containment, at_word) of each leaked item; at_word is where its best window begins."""
     items = tc.checkpointed(shingles(benchmark, "item_id", n))
     sets = items.groupBy("id", "row").agg(F.countDistinct("shingle").alias("n"), F.count(F.lit(1)).alias("width"))
@@ -90,7 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINME
     known = None
     if (many := keys.count()) == 0:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, containment double, at_word bigint")
-    if many <= SMALL:
+    if many <= small:
         known = np.sort(keys.toArrow().column("shingle").to_numpy().view(np.uint64))
     places = shingles(docs, "doc_id", n, known)
     if known is None:
@@ -98,8 +102,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINME
     places = tc.checkpointed(places)
     rarity = keys.join(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle", "left").fillna(0, ["df"])
     own = items.select("id", "row", "shingle").distinct().join(sizes, ["id", "row"]).join(rarity, "shingle")
-    from pyspark.sql import Window as W
-
     own = own.withColumn("rank", F.row_number().over(W.partitionBy("id", "row").orderBy("df", "shingle")))
     own = own.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "shingle", "n", "width", "need", (F.col("rank") <= F.col("n") - F.col("need") + 1).alias("prefix"))
     cand = places.select("id", "row", "shingle").distinct().join(own.where("prefix"), "shingle").select("id", "row", "item_id", "item_row").distinct()
@@ -109,6 +111,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINME
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", (-F.col("at_word")).alias("m"))).alias("b")).select("doc_id", "item_id", F.col("b.containment").alias("containment"), (-F.col("b.m")).alias("at_word"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that leak any item."""
-    return without_ids(docs, tc.checkpointed(contaminated(docs, benchmark).select("doc_id").distinct()))
+def clean(docs: DataFrame, benchmark: DataFrame, small: int = 1 << 20) -> DataFrame:
+    """docs without the rows whose text leaks any item."""
+    key = f"text_{uuid.uuid4().hex}"
+    hashed = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
+    gone = tc.checkpointed(contaminated(hashed, benchmark).select(F.col("doc_id").alias(key)).distinct())
+    side = F.broadcast(gone) if gone.count() <= small else gone
+    return docs.join(side, F.xxhash64(docs["text"].cast("string")) == F.col(key), "left_anti")

@@ -6,15 +6,19 @@
    at most ``LABELLED`` of them, those of least hash of doc_id.  This bound is the one place where not all rows count.
    Texts that are alike count once, and an entry must be in ``LEAST_PART`` of the toxic ones, so that the rare words of a
    toxic document that was copied don't pass for toxic words.
-3. Each document's tokens that show leetspeak, inner symbols, stretched letters or letters spaced apart become a lattice
-   of readings (a substitution, a deletion, a vowel for a star, a boundary or none), and a Viterbi search over pairs of
-   classes finds the likeliest text under the channel's costs and the language model.  All other tokens have but one
-   reading, themselves.
+3. Each document's tokens that show leetspeak before or within letters, inner symbols, stretched letters or letters spaced
+   apart become a lattice of readings (a substitution, a deletion, a vowel for a star, a boundary or none), and a Viterbi
+   search over pairs of classes finds the likeliest text under the channel's costs and the language model.  Substitutions at
+   a word's end, letters doubled, and words broken in pieces are too common in clean texts for that: such tokens become
+   lattices if their skeleton (substitutions undone one way, runs of a letter as one) begins like that of a lexicon entry,
+   which each restored term needs.  All other tokens have but one reading, themselves.
 4. The restored text is scored: 1 - the product of (1 - share) over the lexicon entries found.  ``THRESHOLD`` decides.
 
-Defined cases: null or empty texts score 0; rows with a null doc_id are scored like others; rows that share a doc_id are
-scored apart; without any toxic label the lexicon is empty and nothing is toxic; only doc_id, text and the labels'
-doc_id and toxic are read, so extra columns don't matter.
+Defined cases: null or empty texts score 0 and are never toxic; an empty table gives an empty result; texts of any length are
+read whole; each row is judged by its own text, so rows with a null doc_id go if they are toxic, rows that share a doc_id are
+judged apart, and repeated rows are judged alike; of readings that cost the same the one that was made first, with fewer
+letters changed, stays; without any toxic label the lexicon is empty and nothing is toxic; only doc_id, text and the labels'
+doc_id and toxic are read, so extra columns, whatever their names, don't matter, and `without_toxic` keeps them.
 """
 
 from __future__ import annotations
@@ -31,9 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelgauge.llm import textcore as tc
-from modelgauge.llm.simhash_forest import without_ids
 
-LABELLED, THRESHOLD, LEAST_SHARE, LEAST_DOCS, LEAST_PART = 8000, 0.85, 0.9, 4, 0.015
+LABELLED, THRESHOLD, LEAST_SHARE, LEAST_DOCS, LEAST_PART, DOUBLED = 8000, 0.85, 0.9, 4, 0.015, 1.0
 N = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåçèéêëìíîïñòóôöõùúûüýßœ"
 CLASS = np.full(0x10000, 62, dtype=np.uint8)  # 0: boundary, 1..: letters, 61: digits, 62: others
@@ -53,6 +56,10 @@ _IS_INNER = np.array([chr(b) in "0123456789@$!|+(*._-~" for b in range(256)])
 _IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _SPACE = np.array([chr(b).isspace() for b in range(128)] + [False] * 128)
 _WORDS = re.compile(r"[^\W\d_]+")
+_SINGLE = {ord(k): v[0] for k, v in LEET.items()}
+_PLAIN_ENDS = ".,;:?!\"'`)]}>&%#-_~/\\"  # what may follow a word without being a substitution
+_TWICE = re.compile(r"(.)\1+")
+_GAP = re.compile(r"[\W\d_]+")
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +124,7 @@ class Decoder:
             elif c.isalpha():
                 own = [(c, 0.0)]
                 if i and s[i - 1] == c:
-                    own.append(("", 0.3 if i > 1 and s[i - 2] == c or i + 1 < len(s) and s[i + 1] == c else 2.0))
+                    own.append(("", 0.3 if i > 1 and s[i - 2] == c or i + 1 < len(s) and s[i + 1] == c else DOUBLED))
             else:
                 own = [(x, 0.7) for x in LEET.get(c, "")]
                 if c == "*":
@@ -171,8 +178,8 @@ def _suspicious(texts: list[str]) -> np.ndarray:
     wide = b >= 128  # letters of two bytes, three times over
     hit[:-5] |= wide[:-5] & (b[:-5] == b[2:-3]) & (b[2:-3] == b[4:-1])
     lone = np.zeros(len(b), dtype=bool)
-    lone[1:-1] = space[:-2] & ~space[1:-1] & space[2:]
-    lone[1:-2] |= space[:-3] & wide[1:-2] & wide[2:-1] & space[3:]
+    lone[1:-1] = space[:-2] & ~space[1:-1] & ~letter[2:]
+    lone[1:-2] |= space[:-3] & wide[1:-2] & wide[2:-1] & ~letter[3:]
     first = np.concatenate([[0], np.cumsum([len(e) + 2 for e in enc])])
     n = np.concatenate([[0], np.cumsum(hit)])
     m = np.concatenate([[0], np.cumsum(lone)])
@@ -183,25 +190,83 @@ def segments(text: str) -> list[str]:
     """The stretches of a lower-case text that have more than one reading."""
     out, run = [], []
     for token in [*text.split(), "  "]:
-        if len(token) == 1:
-            run.append(token)
-            continue
+        bare = token.rstrip(_PLAIN_ENDS) if len(token) > 1 else token
+        if len(bare) == 1:
+            run.append(bare)
+            if bare == token:
+                continue
+            token = ""
         if len(run) >= 3:
             out.append(" ".join(run))
         run = []
-        if _SUSPECT.search(token):
+        if token and _SUSPECT.search(token):
             out.append(_EDGE.sub("", token))
     return out
 
 
-_TWICE = re.compile(r"(.)\1+")
+_BONE = np.array([b if b >= 128 or chr(b).isalpha() or b == 10 else ord(_SINGLE[b]) if b in _SINGLE else 0 for b in range(256)], dtype=np.uint8)
+
+
+class Skeletons:
+    """Finds tokens, whole or in pieces, whose skeleton begins like that of a lexicon word or five-letter beginning."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.auto, self.wide = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for f in lexicon:
+            word = f.strip()
+            if len(word) >= 4 and not _TWICE.search(word) and (f.endswith(" ") or len(f) == 5):
+                self.auto.add_word(word, (len(word), f.endswith(" ")))
+                self.wide.add_word(word.encode().decode("latin-1"), 1)
+        self.some = len(self.auto) > 0
+        if self.some:
+            self.auto.make_automaton()
+            self.wide.make_automaton()
+
+    def texts(self, texts: list[str]) -> set[int]:
+        """Which texts, without what is no letter and with runs as one letter, have any entry."""
+        if not self.some:
+            return set()
+        enc = [t.lower().replace("\n", " ").encode("utf-8", "surrogatepass") for t in texts]
+        m = _BONE[np.frombuffer(b"\n".join([*enc, b""]), dtype=np.uint8)]
+        at = np.flatnonzero(m)
+        m = m[at]
+        once = np.ones(len(m), dtype=bool)
+        once[1:] = m[1:] != m[:-1]
+        at = at[once]
+        ends = [e for e, _ in self.wide.iter(m[once].tobytes().decode("latin-1"))]
+        first = np.concatenate([[0], np.cumsum([len(e) + 1 for e in enc])])
+        return set((np.searchsorted(first, at[ends], side="right") - 1).tolist()) if ends else set()
+
+    def tokens(self, low: str) -> list[str]:
+        """The tokens of a text, or runs of tokens that make one word, to decode."""
+        words = [w for t in low.split() if (w := t.rstrip(_PLAIN_ENDS).lstrip(_PLAIN_ENDS + "("))]
+        bare = [skeleton(w).strip() for w in words]
+        out = []
+        for i, b in enumerate(bare):
+            whole, k = b, i
+            while True:
+                if k > i or words[i] != b:
+                    for end, (n, full) in self.auto.iter(_TWICE.sub(r"\1", whole)):
+                        if end + 1 == n and (k == i or n > len(bare[i])) and (not full or n == len(_TWICE.sub(r"\1", whole))):
+                            out.append(" ".join(words[i : k + 1]))
+                k += 1
+                # a word in pieces: two or three short ones, none of them with a space or sign of its own
+                if k > i + 2 or k >= len(bare) or not 0 < len(whole) <= 6 or not bare[k] or " " in bare[k] or " " in whole:
+                    break
+                whole += bare[k]
+        return out
+
+
+def skeleton(text: str) -> str:
+    """A lower-case text with substitutions undone one way and each run of a letter, or of what is none, as one."""
+    return _TWICE.sub(r"\1", _GAP.sub(" ", text.translate(_SINGLE)))
 
 
 def _restored_terms(decoded: str, words: dict[str, tuple[str, float]]) -> dict[str, float]:
-    """Lexicon words in a decoded segment whatever its doubled letters and, in letters spaced apart, its boundaries."""
+    """Lexicon entries in a decoded segment whatever its doubled letters and, in letters spaced apart, its boundaries."""
     joined = _TWICE.sub(r"\1", decoded.replace(" ", ""))
     parts = {_TWICE.sub(r"\1", w) for w in decoded.split()}
-    return dict(e for w, e in words.items() if w in parts or " " in decoded and len(w) >= 4 and w in joined)
+    return dict(e for w, e in words.items() if w in parts or " " in decoded and len(w) >= 4 and w in joined or not e[0].endswith(" ") and any(x.startswith(w) for x in (*parts, joined)))
 
 
 def _automaton(lexicon: dict[str, float]) -> ahocorasick.Automaton:
@@ -212,30 +277,44 @@ def _automaton(lexicon: dict[str, float]) -> ahocorasick.Automaton:
     return auto
 
 
+def judge(model: np.ndarray, lexicon: dict[str, float]):
+    """A function of texts to lists of scores, numbers of restored segments, and terms."""
+    decoder, auto = Decoder(model), _automaton(lexicon) if lexicon else None
+    bones = Skeletons(lexicon)
+    words = {_TWICE.sub(r"\1", f.strip()): (f, p) for f, p in lexicon.items() if f.endswith(" ") or len(f) == 5 and not _TWICE.search(f)}
+
+    def run(texts: list[str]) -> tuple[list[float], list[int], list[str]]:
+        odd, near = _suspicious(texts), bones.texts(texts)
+        score, restored, terms = [], [], []
+        for i, t in enumerate(texts):
+            low, n, extra = t.lower(), 0, []
+            cuts = dict.fromkeys(segments(low) if odd[i] else (), True)
+            if i in near:
+                cuts |= {b: cuts.get(b, False) for b in bones.tokens(low)}
+            for s, loose in cuts.items():
+                d = decoder.decode(s)
+                if d != s:
+                    n += 1
+                    extra.append((d, loose))
+            found = {}
+            if auto is not None:
+                found = dict(x for _, x in auto.iter(f" {_GAP.sub(' ', low)} {_GAP.sub(' ', '  '.join(d for d, _ in extra))} "))
+                for d, loose in extra:
+                    if loose:
+                        found |= _restored_terms(d, words)
+            score.append(1 - math.prod(1 - p for p in found.values()) if found else 0.0)
+            restored.append(n)
+            terms.append(",".join(sorted(f.strip() for f in found)))
+        return score, restored, terms
+
+    return run
+
+
 def _score(model: np.ndarray, lexicon: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, auto = Decoder(model), _automaton(lexicon) if lexicon else None
-        plain = re.compile(r"[\W\d_]+")
-        words = {_TWICE.sub(r"\1", f.strip()): (f, p) for f, p in lexicon.items() if f.endswith(" ")}
+        scores = judge(model, lexicon)
         for part, texts in tc.slices(batches):
-            odd = _suspicious(texts)
-            score, restored, terms = [], [], []
-            for i, t in enumerate(texts):
-                low, n, extra = t.lower(), 0, []
-                if odd[i]:
-                    for s in segments(low):
-                        d = decoder.decode(s)
-                        if d != s:
-                            n += 1
-                            extra.append(d)
-                found = {}
-                if auto is not None:
-                    found = dict(x for _, x in auto.iter(f" {plain.sub(' ', low)} {plain.sub(' ', '  '.join(extra))} "))
-                    for d in extra:
-                        found |= _restored_terms(d, words)
-                score.append(1 - math.prod(1 - p for p in found.values()) if found else 0.0)
-                restored.append(n)
-                terms.append(",".join(sorted(f.strip() for f in found)))
+            score, restored, terms = scores(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(restored, pa.int64()), pa.array(terms, pa.string())], names=["doc_id", "score", "n_restored", "terms"])
 
     return run
@@ -253,5 +332,12 @@ def toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without documents any of whose rows is toxic."""
-    return without_ids(docs, tc.checkpointed(toxic(docs, labels, threshold).select("doc_id").distinct()))
+    """docs without the rows whose text is toxic, in one pass that moves no row."""
+    model, lexicon = language_model(docs), fit_lexicon(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = judge(model, lexicon)
+        for part, texts in tc.slices(batches):
+            yield part.filter(pa.array([s < threshold for s in scores(texts)[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

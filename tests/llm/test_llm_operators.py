@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -230,6 +231,7 @@ def test_decontamination_against_all_windows(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     docs = frame(spark, texts)
     assert {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(docs, bench).collect()} == want
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(docs, bench, small=0).collect()} == want
     assert {x["doc_id"] for x in decontamination.clean(docs, bench).collect()} == set(range(40)) - {d for d, _ in want}
 
 
@@ -256,6 +258,51 @@ def test_toxic_documents_are_found_and_clean_ones_left(spark):
     assert left.columns == docs.columns and {x["doc_id"] for x in left.collect()} == set(range(80)) | set(range(116, 120))
 
 
+CHANNEL = ["1diot", "id1ot", "idio7", "idio+.", "(m0r0n)", "mor0n!", "moroon", "mmoron", "moronn", "ssttuuppiidd", "stuuuupid", "mor on", "st upid,", "i d i o t.", "i d i o t", "i.d.i.o.t", "st*pid", "m o r o n, no", "l0$er", "lo$3r?"]
+
+
+def test_each_channel_operation_at_each_place(spark):
+    r = random.Random(15)
+    model = toxicity.language_model(frame(spark, [prose(r, 60) + " stupid idiot clown loser worthless moron" for _ in range(60)]))
+    judge = toxicity.judge(model, {f: 0.95 for f in ("stupi", "idiot ", "moron ", "clown ", "loser ")})
+    for t in CHANNEL:
+        assert judge(["anting erved " + t + " stlas quonro"])[0] == [0.95], t
+        assert judge([t])[0] == [0.95], t
+    assert judge(["great stuff! all 3d letters, a b c of 2024 on the moonn; mo ro st u", "", "idi otic erons"])[0][:2] == [0.0, 0.0]
+
+
+def test_viterbi_is_the_best_of_all_readings():
+    r = np.random.default_rng(5)
+    model = r.random((toxicity.N,) * 3).astype(np.float32) * 6
+    d = toxicity.Decoder(model)
+
+    def cost(reading):
+        a = b = 0
+        total = 0.0
+        for c, channel in reading:
+            total += channel + (0.2 if not c else 0)
+            if c:
+                k = int(toxicity.CLASS[ord(c)])
+                total += float(model[a, b, k])
+                a, b = b, k
+        return total + float(model[a, b, 0])
+
+    for s in ("1d10t", "a$$", "m.o r", "st*pp1", "s t", "7+|"):
+        every = list(itertools.product(*d._readings(s)))
+        best = min(map(cost, every))
+        got = [x for x in every if "".join(c for c, _ in x) == d.decode(s)]
+        assert min(map(cost, got)) == pytest.approx(best, abs=1e-4)
+
+
+def test_toxic_rows_go_whatever_their_id(spark):
+    r = random.Random(16)
+    texts = [prose(r, 30) for _ in range(30)] + [prose(r, 30) + " moron" for _ in range(20)] + ["what a m0r0n", "fine words", "fine words"]
+    docs = frame(spark, texts, [*range(50), None, None, 3])
+    left = toxicity.without_toxic(docs, labels(spark, [(i, 1, int(i >= 30)) for i in range(50)]))
+    assert sorted((x["doc_id"] is None, x["doc_id"], x["text"]) for x in left.where("doc_id is not null").collect()) == sorted([(False, i, t) for i, t in enumerate(texts[:30])] + [(False, 3, "fine words")])
+    assert [x["text"] for x in left.where("doc_id is null").collect()] == ["fine words"] and left.columns == docs.columns
+
+
 def test_suspicion_is_necessary_for_segments():
     r = random.Random(7)
     texts = ["".join(r.choice("ab é1@$.* -\n") for _ in range(12)) for _ in range(3000)] + ["ñññ", "a b c", "é é é"]
@@ -347,7 +394,7 @@ def test_ledger_scans_only_what_is_new(spark):
     assert new.count() == 3 * len(secret_ledger.RULES)
     again, none = secret_ledger.scan(docs, new)
     assert again.count() == 0 and none.count() == 0
-    raised = tuple(secret_ledger.Rule(r.name, 2, r.keyword, r.pattern) if r.name == "assigned_hex" else r for r in secret_ledger.RULES)
+    raised = tuple(secret_ledger.Rule(r.name, 3, r.keywords, r.pattern) if r.name == "assigned_hex" else r for r in secret_ledger.RULES)
     third, some = secret_ledger.scan(docs, new, raised)
     assert third.count() == 1 and some.count() == 3
 
@@ -356,11 +403,14 @@ def test_ledger_finds_secrets_after_colons(spark):
     h, b = "0123456789abcdef" * 2, "Ab1+" * 10
     texts = [f"password: '{h}'", f'api_key: "{h}"', f'{{"token": "{h}"}}', f'x = 1 {{"client_secret": "{b}"}}', f"private_key: '{b}'", f"a = 1, token: '{h}'", f"token = '{h}'", "token: none"]
     docs = frame(spark, texts)
-    old = docs.selectExpr("sha2(text, 256) as blob").crossJoin(spark.createDataFrame([(r.name, r.version) for r in secret_ledger.COMPARED], "rule string, version int"))
-    want = {(0, "colon_hex"), (1, "colon_hex"), (2, "quoted_key_hex"), (3, "quoted_key_base64"), (4, "colon_base64"), (5, "assigned_hex"), (6, "assigned_hex")}
-    for ledger, rules in ((secret_ledger.empty_ledger(spark), want), (old, {x for x in want if x[1] != "assigned_hex"})):
-        got = secret_ledger.by_path(docs, secret_ledger.scan(docs, ledger)[0]).collect()
-        assert {(x["doc_id"], x["rule"]) for x in got} == rules and all(x["hits"] == 1 for x in got)
+    old = docs.selectExpr("sha2(text, 256) as blob").crossJoin(spark.createDataFrame([(r.name, 1) for r in secret_ledger.RULES], "rule string, version int"))
+    want = {(i, "assigned_base64" if i in (3, 4) else "assigned_hex") for i in range(7)}
+    for ledger in (secret_ledger.empty_ledger(spark), old):
+        for small in (secret_ledger.SMALL_BYTES, 0):
+            got = secret_ledger.by_path(docs, secret_ledger.scan(docs, ledger, small=small)[0], small).collect()
+            assert {(x["doc_id"], x["rule"]) for x in got} == want and all(x["hits"] == 1 for x in got)
+    twice = secret_ledger.by_path(docs, secret_ledger.scanned_twice(docs)).collect()
+    assert {(x["doc_id"], x["rule"]) for x in twice} == want and len(twice) == 7
 
 
 def test_host_prior_shrinks_small_hosts(spark):
