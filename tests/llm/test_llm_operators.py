@@ -177,9 +177,10 @@ def test_line_dedup_against_all_pairs(spark):
         assert left[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got)
 
 
-def test_repeated_spans_against_all_windows(spark):
+@pytest.mark.parametrize("flush_at", [1 << 20, 200])
+def test_repeated_spans_against_all_windows(spark, flush_at):
     r = random.Random(3)
-    passages = [prose(r, n) for n in (47, 48, 52, 150)]
+    passages = [prose(r, n) for n in (47, 48, 52, 150, 420)]
     texts = [prose(r, 40) + " " + r.choice(passages) + " " + prose(r, 30) for _ in range(24)] + [prose(r, 60)] * 2 + ["ha " * 300, "ha " * 90]
     w = [tc.Words([t]).hash.tolist() for t in texts]
     n = substring_dedup.WORDS
@@ -192,11 +193,25 @@ def test_repeated_spans_against_all_windows(spark):
         for i in range(len(x) - n + 1):
             if len(seen[tuple(x[i : i + n])]) > 1:
                 want |= {(d, k) for k in range(i, i + n)}
-    got = set()
-    for x in substring_dedup.repeated_spans(frame(spark, texts)).collect():
+    got, spans = set(), substring_dedup.repeated_spans(frame(spark, texts), flush_at).collect()
+    for x in spans:
         got |= {(x["doc_id"], k) for k in range(x["start_word"], x["end_word"])}
     assert want and got == want
 
+    def elsewhere(d, i, m):
+        return any(y[k : k + m] == w[d][i : i + m] for e, y in enumerate(w) if e != d for k in range(len(y) - m + 1))
+
+    for x in spans:
+        d, longest = x["doc_id"], n
+        for i in np.flatnonzero(substring_dedup.sampled(substring_dedup.refined_buckets(np.array(w[d], dtype=np.uint64), 24))):
+            if x["start_word"] <= i and i + n <= x["end_word"]:
+                m = n
+                while i + 2 * m <= len(w[d]) and elsewhere(d, i, 2 * m):
+                    m *= 2
+                longest = max(longest, m if elsewhere(d, i, m) else n)
+        assert x["longest"] == longest
+    assert {x["longest"] for x in spans} >= {48, 96}
+
 
 def test_refined_buckets_are_equal_for_equal_words_only():
     a = np.arange(100, dtype=np.uint64)
