@@ -127,7 +127,7 @@ SENT = "part int, bucket binary, pointer binary, doc binary, text_hash binary, a
 
 
 def _later_round(bloom: np.ndarray, log2_parts: int, flush_at: int = 1 << 20):
-    """Packed suffixes near an unfinished one: by part of bucket those to be refined, with part -1 those settled here."""
+    """Packed suffixes near an unfinished one: by part of bucket those to be refined, with parts under 0 those settled here."""
 
     def packed(part: int, rows: tuple, pick: np.ndarray, whole: bool) -> tuple:
         bucket, pointer, doc, text, at, count, chain, begin = rows
@@ -147,7 +147,7 @@ def _later_round(bloom: np.ndarray, log2_parts: int, flush_at: int = 1 << 20):
         shared, ends, _ = _differ(group, doc[order])
         send = ~shared | (count[order] > 0)
         send[ends] = True
-        out = [packed(-1, rows, order[shared], False)] if shared.any() else []
+        out = [packed(-1 - int(bucket[0] % np.uint64(1 << 20)), rows, order[shared], False)] if shared.any() else []
         go = order[send]
         part = (bucket[go] >> np.uint64(64 - log2_parts)).astype(np.int64)
         cut = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
@@ -212,10 +212,10 @@ def refined_reach(bucket: np.ndarray, pointer: np.ndarray, doc: np.ndarray, coun
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, at, reach) of suffixes that share WORDS words with another document; rows come sorted by part."""
 
-    def whole(held: list) -> pa.RecordBatch:
+    def whole(part: int, held: list) -> pa.RecordBatch:
         kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint64)
         bucket, pointer, doc, text, at, count, chain = (np.frombuffer(b"".join(h[k] for h in held), dtype=t) for k, t in enumerate(kinds))
-        reach = refined_reach(bucket, pointer, doc, count.astype(np.int64), chain)
+        reach = np.full(len(doc), WORDS, dtype=np.int32) if part < 0 else refined_reach(bucket, pointer, doc, count.astype(np.int64), chain)
         hit = np.flatnonzero(reach)
         return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (doc, text, at, reach)], names=["doc_id", "text_hash", "at", "reach"])
 
@@ -223,19 +223,12 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, part in enumerate(batch.column(0).to_pylist()):
             if part != last and held:
-                yield whole(held)
+                yield whole(last, held)
                 held = []
             last = part
             held.append(tuple(batch.column(k)[i].as_py() for k in range(1, 8)))
     if held:
-        yield whole(held)
-
-
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            cols = [np.frombuffer(batch.column(k)[i].as_py(), dtype=t) for k, t in ((0, np.int64), (1, np.int64), (2, np.int32))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(cols[0]), WORDS, np.int32))], names=["doc_id", "text_hash", "at", "reach"])
+        yield whole(last, held)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +251,8 @@ def repeated_spans(docs: DataFrame, flush_at: int = 1 << 20) -> DataFrame:
     first = text.mapInArrow(_first_round, "bucket bigint, doc_id bigint")
     shared = first.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket")
     bloom = text.sparkSession.sparkContext.broadcast(tc.bloom_words(shared, "bucket"))
-    log2_parts = max(8, (4 * text.rdd.getNumPartitions()).bit_length())
+    log2_parts = max(10, (8 * text.rdd.getNumPartitions()).bit_length())
     keyed = text.withColumn("text_hash", F.xxhash64("text"))
-    sent = tc.checkpointed(keyed.mapInArrow(lambda it: _later_round(bloom.value, log2_parts, flush_at)(it), SENT))
-    hit = "doc_id bigint, text_hash bigint, at int, reach int"
-    refined = sent.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(_refine, hit)
-    settled = sent.where("part < 0").select("doc", "text_hash", "at").mapInArrow(_settled, hit)
-    return refined.union(settled).repartition("text_hash").mapInArrow(_spans, "doc_id bigint, text_hash bigint, start_word int, end_word int, longest int")
+    sent = keyed.mapInArrow(lambda it: _later_round(bloom.value, log2_parts, flush_at)(it), SENT).repartition("part").sortWithinPartitions("part")
+    hits = sent.mapInArrow(_refine, "doc_id bigint, text_hash bigint, at int, reach int").repartition("text_hash")
+    return hits.mapInArrow(_spans, "doc_id bigint, text_hash bigint, start_word int, end_word int, longest int")
