@@ -56,7 +56,7 @@ def _out(df: DataFrame, message: Column | str, context: Column | str, line: Colu
 @rule("Q001", "MAJOR", 2, 0.95)
 def select_star(r, p):
     hit = _hits(r, "star", None if p.get("strict_star") else F.col("ok")).dropDuplicates(["node_id", "line"])
-    return _out(hit, "all columns are selected", F.concat(F.lit("Q001:"), "detail"))
+    return _out(hit, "all columns are selected", F.concat_ws(":", F.lit("Q001"), "detail", F.col("line").cast("string")))
 
 
 @rule("Q002", "CRITICAL", 1, 1.0, ast=False)
@@ -99,7 +99,8 @@ def undocumented_column(r, p):
         skip = skip | F.col("name").startswith(x)
     known = r["columns"].select("node_id", F.lower("name").alias("low")).distinct()
     withyml = r["models"].where("yml is not null").select("node_id")
-    bad = _outer(r).where((F.col("name") != "") & (F.col("name") != "*") & ~skip).withColumn("low", F.lower("name")).dropDuplicates(["node_id", "low"]).join(known, ["node_id", "low"], "left_anti").join(withyml, "node_id", "left_semi")
+    bad = _outer(r).where((F.col("name") != "") & (F.col("name") != "*") & ~skip).withColumn("low", F.lower("name")).join(known, ["node_id", "low"], "left_anti").join(withyml, "node_id", "left_semi")
+    bad = G.first_of(bad, ["node_id", "low"], ["n", "line"])
     w = W.partitionBy("node_id")
     ranked = bad.withColumn("k", F.row_number().over(w.orderBy("n", "low"))).withColumn("all", F.count(F.lit(1)).over(w))
     few = _out(ranked.where("k <= 15"), F.concat(F.lit("no description of column "), "name"), F.concat(F.lit("Q005:"), "name"))
@@ -123,7 +124,7 @@ def casing(r, p):
 @rule("P001", "CRITICAL", 1, 0.95)
 def cross_join(r, p):
     hit = _hits(r, "cross").withColumn("confidence", F.when(F.col("detail") == "explicit", 0.95).otherwise(0.85))
-    return _out(hit, F.concat(F.lit("cross join with "), "name"), F.concat(F.lit("P001:"), "name"))
+    return _out(hit, F.concat(F.lit("cross join with "), "name"), F.concat_ws(":", F.lit("P001"), "name", F.col("line").cast("string")))
 
 
 for _id, _kind, _sev, _tier, _conf, _msg in (
@@ -136,7 +137,8 @@ for _id, _kind, _sev, _tier, _conf, _msg in (
     ("R003", "single_use_cte", "MINOR", 2, 0.8, "CTE is used once"),
     ("R004", "dead_cte", "MAJOR", 2, 0.95, "CTE is never used"),
 ):
-    rule(_id, _sev, _tier, _conf)(lambda r, p, k=_kind, m=_msg, i=_id: _out(_hits(r, k), m, F.concat(F.lit(i + ":"), "name")))
+    _more = () if _id in ("R003", "R004") else ("line",)  # of a CTE there is one; other findings of a file differ by place
+    rule(_id, _sev, _tier, _conf)(lambda r, p, k=_kind, m=_msg, i=_id, more=_more: _out(_hits(r, k), m, F.concat_ws(":", F.lit(i), "name", *more)))
 
 
 @rule("P008", "MINOR", 2, 0.8)
@@ -251,7 +253,8 @@ PII = ("ssn", "social_security\\w*", "email(_address)?", "phone(_number)?", "dat
 
 @rule("S001", "CRITICAL", 1, 0.75)
 def unmasked(r, p):
-    hit = _outer(r).where(F.col("ok") & F.lower("name").rlike("^(" + "|".join(PII) + ")$")).withColumn("low", F.lower("name")).dropDuplicates(["node_id", "low"])
+    hit = _outer(r).where(F.col("ok") & F.lower("name").rlike("^(" + "|".join(PII) + ")$")).withColumn("low", F.lower("name"))
+    hit = G.first_of(hit, ["node_id", "low"], ["line", "n"])
     return _out(hit, F.concat(F.lit("personal data unmasked: "), "name"), F.concat(F.lit("S001:"), "low"))
 
 

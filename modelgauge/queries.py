@@ -44,7 +44,7 @@ def _relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         f = B.relation(spark, sf_dir, "findings0")
         return f.withColumn("fingerprint", X.fingerprint(F.col("rule_id"), F.col("path"), F.col("context")))
     if name == "baseline":
-        return _relation(spark, sf_dir, "findings").where("ord % 7 = 0").select("fingerprint").distinct()
+        return _relation(spark, sf_dir, "findings").where("origin = 'lint'").select("fingerprint").distinct()
     if name == "waived":
         return E.apply_waivers(_relation(spark, sf_dir, "findings"), OVERRIDES, _relation(spark, sf_dir, "baseline"), TODAY)
     if name == "complexity":
@@ -69,7 +69,7 @@ _SEL = [
 ]
 _VIEWS = dict(B.SQL) | {
     "findings": "select *, substr(sha256(concat(rule_id, chr(0), path, chr(0), context)), 1, 16) as fingerprint from findings0",
-    "baseline": "select distinct fingerprint from findings where ord % 7 = 0",
+    "baseline": "select distinct fingerprint from findings where origin = 'lint'",
     "picked": "select f.*, case " + " ".join(f"when coalesce({s}, false) then {i}" for i, s in enumerate(_SEL)) + " end as e, b.fingerprint is not null as based from findings f left join baseline b using (fingerprint)",
     "waived": "select *, case e when 0 then 'old' when 1 then 'one' when 2 then 'two' when 3 then 'entry-3' end as entry_id, coalesce(e = 0, false) as expired, not based as is_new, case when e is not null then case when e <> 0 then 'override' end when based then 'baseline' end as source, (case when e is not null then e <> 0 else based end) as suppressed from picked",
     "worst": f"select * from (select *, row_number() over (partition by test_name, model order by {_RANK} desc, {_ORD}) as rn from results where kind <> 'UNIT') where rn = 1",
@@ -193,11 +193,6 @@ def _(r):
     return M.render_stats(r("models"))
 
 
-@query("m_ccsum", "select count(*) as n, round(avg(cc), 4) as mean_cc, max(cc) as max_cc, sum(cc)::bigint as sum_cc from models")
-def _(r):
-    return M.complexity_summary(r("complexity"))
-
-
 @query("m_ccsum_top", "select node_id, cc from models order by cc desc, node_id limit 10")
 def _(r):
     return r("complexity").orderBy(F.col("cc").desc(), "node_id").limit(10).select("node_id", "cc")
@@ -283,14 +278,11 @@ def _(r):
     return E.capture_baseline(r("waived"))
 
 
-@query("w_diff", "select coalesce(a.fingerprint, b.fingerprint) as fingerprint, case when b.fingerprint is null then 'added' else 'removed' end as change from (select distinct fingerprint from findings where ord % 3 <> 0) a full join baseline b on a.fingerprint = b.fingerprint where a.fingerprint is null or b.fingerprint is null")
-def _(r):
-    return E.diff_baseline(r("findings").where("ord % 3 <> 0"), r("baseline"))
-
-
-@query("g_edges", "select distinct parent, child from edges")
+@query("w_diff", "select coalesce(a.fingerprint, b.fingerprint) as fingerprint, case when b.fingerprint is null then 'added' else 'removed' end as change from (select distinct fingerprint from findings) a full join (select fingerprint from baseline union select substr(sha256(concat(rule_id, chr(0), reason, chr(0), coalesce(node_id, ''))), 1, 16) from skips) b on a.fingerprint = b.fingerprint where a.fingerprint is null or b.fingerprint is null")
 def _(r):
-    return r("edges").select("parent", "child").distinct()
+    # a baseline that has one adapter's findings, and others of rules that were skipped since
+    gone = r("skips").select(X.fingerprint(F.col("rule_id"), F.col("reason"), F.coalesce("node_id", F.lit(""))).alias("fingerprint"))
+    return E.diff_baseline(r("findings"), r("baseline").union(gone))
 
 
 @query("g_fan_in", "select child as node_id, count(distinct parent) as n from edges group by 1")
@@ -394,9 +386,11 @@ def _(r):
     return K.trend(r("runs")).select("project", "run_id", F.round("score", 6).alias("score"))
 
 
-@query("k_pmc", "select coalesce(s.node_id, f.node_id) as node_id, s.score, coalesce(f.n, 0) as n_dimensions from (select node_id, score from summary where score < 90) s full join (select node_id, count(*) as n from facts where node_id like '%3' group by 1) f on s.node_id = f.node_id")
+@query("k_pmc", "select coalesce(s.node_id, f.node_id) as node_id, s.score, coalesce(f.n, 0) as n_dimensions from (select node_id, score from summary) s full join (select model as node_id, count(distinct kind) as n from results group by 1) f on s.node_id = f.node_id")
 def _(r):
-    out = K.model_coverage(r("summary").where("score < 90"), C.per_node(r("facts")).where("node_id like '%3'"))
+    # models without a test have no dimension of tests; tests of what is no model have no score
+    kinds = r("results").groupBy(F.col("model").alias("node_id"), F.col("kind").alias("dimension")).agg(F.count_if("executed").alias("covered"), F.count(F.lit(1)).alias("total"))
+    out = K.model_coverage(r("summary"), kinds)
     return out.select("node_id", "score", F.coalesce(F.when(F.col("dimensions").isNotNull(), F.size("dimensions")), F.lit(0)).cast("bigint").alias("n_dimensions"))
 
 
@@ -439,35 +433,7 @@ def _(r):
     return r("part").where(X.matches_any(F.col("p_name"), ["*1[!2-4]?*"])).select("p_partkey")
 
 
-@query("t_dup_expr", "select md5(p_type) as digest, count(distinct p_brand) as n, min(p_partkey) as anchor from part group by p_type having count(distinct p_brand) >= 3")
-def _(r):
-    return r("part").groupBy(F.md5("p_type").alias("digest")).agg(F.countDistinct("p_brand").alias("n"), F.min("p_partkey").alias("anchor")).where("n >= 3")
-
-
-@query("r_q004", "select node_id from models where trim(coalesce(description, '')) = ''")
-def _(r):
-    return r("models").where("trim(coalesce(description, '')) = ''").select("node_id")
-
-
-@query("r_a002", "select parent as node_id, count(distinct child) as n from edges group by 1 having count(distinct child) > 1")
-def _(r):
-    return G.fan_out(r("edges")).where("n > 1")
-
-
-@query("r_p009", "select parent as node_id, n from (select parent, count(distinct child) as n from edges group by 1) join models on parent = node_id where mode = 'MOCK' and n > 1")
-def _(r):
-    views = r("models").where("mode = 'MOCK'").select("node_id")
-    return G.fan_out(r("edges")).where("n > 1").join(views, "node_id")
-
-
-@query("r_t002", "select node_id from models where not starts_with(path, 'staging/') and node_id not in (select model from results where kind = 'UNIT')")
-def _(r):
-    unit = r("results").where("kind = 'UNIT'").select(F.col("model").alias("node_id"))
-    return r("models").where("not startswith(path, 'staging/')").join(unit, "node_id", "left_anti").select("node_id")
-
-
-@query("r_q006", f"select node_id, layer from (select node_id, name, {_LAYER} as layer from models) where (layer = 'staging' and not starts_with(name, 'stg_')) or (layer = 'intermediate' and not starts_with(name, 'int_')) or (layer = 'mart' and not starts_with(name, 'fct_') and not starts_with(name, 'dim_'))")
-def _(r):
-    from modelgauge.operators.metadata_rules import bad_names
+from modelgauge import rule_queries  # noqa: E402
 
-    return bad_names(G.classify(r("models"))).select("node_id", "layer")
+QUERIES |= rule_queries.QUERIES
+ORACLE_SQL |= rule_queries.ORACLE_SQL
