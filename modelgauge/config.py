@@ -14,8 +14,11 @@ DEFAULTS: dict[str, Any] = {
     "confidence_threshold": 0.7,
     "render": {"mode": "AUTO", "compiled_min_coverage": 0.5, "compiled_dir": None},
     "rules": {},
-    "coverage": {"weights": {"trivial": 0.0, "structural": 0.25, "logical": 1.0, "unknown": 0.0}, "unit_test_cc_threshold": 3, "thresholds": {}},
+    "coverage": {"weights": {"trivial": 0.0, "structural": 0.25, "logical": 1.0, "unknown": 0.0}, "classes": {"logical": [], "structural": [], "trivial": []}, "unit_test_cc_threshold": 3, "thresholds": {}},
     "complexity": {"warn": 15, "block": 30, "include_jinja": True, "exempt_models": []},
+    "architecture": {"layers": None, "prefixes": None, "allowed": None},
+    "lint": {"severities": {}},
+    "baseline": None,
     "scoring": {},
     "overrides": [],
     "gate": {"fail_on_tier": 1, "fail_on_new_only": False, "unexecuted_max": 0, "skips": {"RULE_ERROR": 0, "ADAPTER_FAILED": 0}},
@@ -70,3 +73,28 @@ def load_config(path: str | None = None, given: dict | None = None) -> dict:
             raise ConfigError(f"{path} isn't a map")
         cfg = _merge(cfg, data)
     return checked(_merge(cfg, given or {}))
+
+
+TEMPLATE = """# every setting has a default; this file names those that projects change most
+version: 1
+confidence_threshold: 0.7
+render:
+  mode: AUTO  # AUTO, COMPILED or MOCK
+complexity:
+  warn: 15
+  block: 30
+coverage:
+  unit_test_cc_threshold: 3
+gate:
+  fail_on_tier: 1
+overrides: []
+"""
+
+
+def write_template(folder: str, name: str = "modelgauge.yml", force: bool = False) -> Path:
+    """A first configuration file; one that exists is left alone unless `force` is given."""
+    file = Path(folder) / name
+    if file.exists() and not force:
+        raise ConfigError(f"{file} exists")
+    file.write_text(TEMPLATE, "utf-8")
+    return file

@@ -55,16 +55,16 @@ def passing(deduped: DataFrame, results: DataFrame) -> DataFrame:
     return deduped.crossJoin(F.broadcast(known)).where("not _known or status = 'PASS'").drop("_known")
 
 
-def best_weights(results: DataFrame, order: list[str]) -> DataFrame:
-    """(node_id, weight): the weight of each model's best passing data test."""
+def best_weights(results: DataFrame, order: list[str], weights: dict | None = None, classes: dict | None = None) -> DataFrame:
+    """(node_id, weight): the weight of each model's best passing data test; classes: the user's globs of kinds by class."""
     data = results.where("kind <> 'UNIT'")
     ok = passing(worst(data, ["test_name", "model"], order), data)
-    return ok.where("model is not null").groupBy(F.col("model").alias("node_id")).agg(F.max(X.class_weight(X.test_class(F.col("test_kind")))).alias("weight"))
+    return ok.where("model is not null").groupBy(F.col("model").alias("node_id")).agg(F.max(X.class_weight(X.test_class(F.col("test_kind"), **(classes or {})), weights)).alias("weight"))
 
 
-def test_meaningful(models: DataFrame, weights: DataFrame) -> DataFrame:
+def test_meaningful(models: DataFrame, weights: DataFrame, least: float = X.WEIGHTS["LOGICAL"]) -> DataFrame:
     j = models.select("node_id").join(weights, "node_id", "left")
-    return _fact(j, "test_meaningful", (F.coalesce("weight", F.lit(0.0)) >= X.WEIGHTS["LOGICAL"]).cast("int"), F.lit(1))
+    return _fact(j, "test_meaningful", (F.coalesce("weight", F.lit(0.0)) >= least).cast("int"), F.lit(1))
 
 
 def test_weighted_cc(models: DataFrame, complexity: DataFrame, weights: DataFrame) -> DataFrame:
@@ -73,11 +73,11 @@ def test_weighted_cc(models: DataFrame, complexity: DataFrame, weights: DataFram
     return _fact(j, "test_weighted_cc", F.coalesce("weight", F.lit(0.0)) * cc, cc)
 
 
-def column_test_meaningful(columns: DataFrame, results: DataFrame, order: list[str]) -> DataFrame:
+def column_test_meaningful(columns: DataFrame, results: DataFrame, order: list[str], weights: dict | None = None, classes: dict | None = None) -> DataFrame:
     data = results.where("kind <> 'UNIT'")
     named = data.where("coalesce(column_name, '') <> ''").withColumn("col", F.lower("column_name"))
     ok = passing(worst(named, ["model", "col", "test_name"], order), data)
-    good = ok.where(X.class_weight(X.test_class(F.col("test_kind"))) >= X.WEIGHTS["LOGICAL"]).select(F.col("model").alias("node_id"), "col", F.lit(1).alias("hit")).distinct()
+    good = ok.where(X.class_weight(X.test_class(F.col("test_kind"), **(classes or {})), weights) >= (weights or X.WEIGHTS)["LOGICAL"]).select(F.col("model").alias("node_id"), "col", F.lit(1).alias("hit")).distinct()
     per = columns.withColumn("col", F.lower("name")).join(good, ["node_id", "col"], "left").groupBy("node_id").agg(F.count("hit").alias("c"), F.count(F.lit(1)).alias("t"))
     return _fact(per, "column_test_meaningful", F.col("c"), F.col("t"))
 
@@ -113,23 +113,49 @@ def per_node(facts: DataFrame) -> DataFrame:
     return facts.select("dimension", "node_id", F.bround("covered", 0).cast("bigint").alias("covered"), F.col("total").cast("bigint").alias("total"))
 
 
-def all_facts(models: DataFrame, columns: DataFrame, results: DataFrame, complexity: DataFrame, order: list[str], dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """The facts of all chosen dimensions, as one union."""
+def all_facts(models: DataFrame, columns: DataFrame, results: DataFrame, complexity: DataFrame, order: list[str], dimensions: tuple[str, ...] = DIMENSIONS, cfg: dict | None = None) -> DataFrame:
+    """The facts of all chosen dimensions, as one union; cfg: weights by class, globs of kinds by class, simple, warn."""
+    cfg = cfg or {}
+    weights = X.WEIGHTS | {k.upper(): v for k, v in (cfg.get("weights") or {}).items()}
+    classes = cfg.get("classes") or {}
     d = declared(models, columns)
-    w = best_weights(results, order)
+    w = best_weights(results, order, weights, classes)
     made = {
         "test": lambda: test(d),
         "doc": lambda: doc(d),
         "column_test": lambda: column_test(d),
-        "column_test_meaningful": lambda: column_test_meaningful(columns, results, order),
-        "test_meaningful": lambda: test_meaningful(models, w),
+        "column_test_meaningful": lambda: column_test_meaningful(columns, results, order, weights, classes),
+        "test_meaningful": lambda: test_meaningful(models, w, weights["LOGICAL"]),
         "test_weighted_cc": lambda: test_weighted_cc(models, complexity, w),
         "test_unit": lambda: test_unit(models, results),
-        "test_unit_weighted_cc": lambda: test_unit_weighted_cc(models, complexity, results),
-        "complexity": lambda: complexity_dim(complexity),
+        "test_unit_weighted_cc": lambda: test_unit_weighted_cc(models, complexity, results, cfg.get("simple", 3)),
+        "complexity": lambda: complexity_dim(complexity, cfg.get("warn", 15)),
     }
     frames = [made[k]() for k in dimensions if k in made]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def tested_models(models: DataFrame, results: DataFrame) -> DataFrame:
+    """(node_id, test_covered): whether a model has a test, by the results if there are any at all, else by its YAML.
+
+    models(node_id, n_model_tests, n_tested).
+    """
+    n = results.where("model is not null").groupBy(F.col("model").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    some = results.agg((F.count(F.lit(1)) > 0).alias("some"))
+    j = models.join(n, "node_id", "left").crossJoin(F.broadcast(some))
+    return j.select("node_id", F.when(F.col("some"), F.coalesce("n", F.lit(0)) > 0).otherwise((F.col("n_model_tests") > 0) | (F.col("n_tested") > 0)).alias("test_covered"))
+
+
+def column_differences(declared_: DataFrame, actual: DataFrame) -> DataFrame:
+    """(node_id, undeclared, missing): columns that a model selects and its YAML lacks, and the other way round; letter case counts, names are sorted.
+
+    declared_(node_id, name), actual(node_id, name).
+    """
+    a = declared_.groupBy("node_id").agg(F.collect_set("name").alias("d"))
+    b = actual.groupBy("node_id").agg(F.collect_set("name").alias("a"))
+    none = F.array().cast("array<string>")
+    j = a.join(b, "node_id", "full_outer").select("node_id", F.coalesce("d", none).alias("d"), F.coalesce("a", none).alias("a"))
+    return j.select("node_id", F.array_sort(F.array_except("a", "d")).alias("undeclared"), F.array_sort(F.array_except("d", "a")).alias("missing"))

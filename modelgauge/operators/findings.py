@@ -88,6 +88,14 @@ def _selects(e: dict) -> Column:
     return by & X.matches_any(F.col("rule_id"), e["waive"])
 
 
+def entry_key(e: dict) -> str:
+    """An override's name: its id, else its selectors and rules, so that it doesn't depend on its place in the list."""
+    if e.get("id"):
+        return str(e["id"])
+    parts = [f"{k}={'|'.join(sorted(map(str, e[k])))}" for k in ("models", "paths", "node_ids", "waive") if e.get(k)]
+    return ";".join(parts)
+
+
 def apply_waivers(findings: DataFrame, overrides: list[dict], baseline: DataFrame | None, today: str) -> DataFrame:
     """Adds suppressed, source, entry_id and expired: the first entry that matches decides, and one that has expired hides the baseline.
 
@@ -102,7 +110,7 @@ def apply_waivers(findings: DataFrame, overrides: list[dict], baseline: DataFram
     for i, e in enumerate(overrides):
         if e.get("expires") and str(e["expires"]) < today:
             expired = F.when(F.col("_e") == i, True).otherwise(expired)
-        entry = F.when(F.col("_e") == i, e.get("id") or f"entry-{i}").otherwise(entry)
+        entry = F.when(F.col("_e") == i, entry_key(e)).otherwise(entry)
     out = out.withColumn("entry_id", entry).withColumn("expired", expired)
     if baseline is not None:
         out = out.join(baseline.select("fingerprint").distinct().withColumn("_b", F.lit(True)), "fingerprint", "left")

@@ -110,7 +110,7 @@ def undocumented_column(r, p):
 
 @rule("Q006", "MAJOR", 1, 0.95, ast=False, node=False)
 def naming(r, p):
-    return _out(R.bad_names(r["layers"]), F.concat(F.lit("name doesn't fit layer "), "layer"), "Q006", F.lit(1))
+    return _out(R.bad_names(r["layers"], p.get("prefixes") or R.PREFIXES), F.concat(F.lit("name doesn't fit layer "), "layer"), "Q006", F.lit(1))
 
 
 @rule("Q007", "MINOR", 2, 0.8)
@@ -203,7 +203,7 @@ def repeated_case(r, p):
 
 @rule("A001", "MAJOR", 1, 0.95, ast=False, node=False)
 def layer_violation(r, p):
-    v = G.layer_violations(r["edges"], r["layers"])
+    v = G.layer_violations(r["edges"], r["layers"], p.get("allowed") or G.ALLOWED)
     return _out(v.withColumn("node_id", F.col("child")), F.concat("child_layer", F.lit(" reads "), "parent_layer", F.lit(": "), "parent"), F.concat(F.lit("A001:"), "parent"), F.lit(1))
 
 
@@ -276,20 +276,36 @@ def no_owner(r, p):
     return _out(R.ownerless(r["models"].withColumn("meta", F.col("yml.meta"))), "no owner", "G001", F.lit(1))
 
 
-def run_rules(r: dict, settings: dict[str, dict] | None = None) -> DataFrame:
-    """The findings of all enabled rules; rules that need a tree see only models that were parsed."""
+def run_rules(r: dict, settings: dict[str, dict] | None = None, crashed: dict[str, str] | None = None) -> DataFrame:
+    """The findings of all enabled rules; rules that need a tree see only models that were parsed.
+
+    A rule whose function raises, or gives columns that can't be resolved, is left out and named in `crashed`, if that is given.
+    """
     settings = settings or {}
     out = None
     for k, (i, x) in enumerate(RULES.items()):
         s = settings.get(i, {})
         if not s.get("enabled", True):
             continue
-        f = x.make(r, s.get("params", {}))
-        for c, v in (("severity", x.severity), ("tier", x.tier), ("confidence", x.confidence)):
-            if c not in f.columns:
-                f = f.withColumn(c, F.lit(v))
-        f = f.select(F.lit(i).alias("rule_id"), "severity", F.col("tier").cast("int").alias("tier"), F.col("confidence").cast("double").alias("confidence"), "message", "line", "node_id", "context", F.lit(k).alias("rule_ord"))
+        try:
+            f = x.make(r, s.get("params", {}))
+            for c, v in (("severity", x.severity), ("tier", x.tier), ("confidence", x.confidence)):
+                if c not in f.columns:
+                    f = f.withColumn(c, F.lit(v))
+            f = f.select(F.lit(i).alias("rule_id"), "severity", F.col("tier").cast("int").alias("tier"), F.col("confidence").cast("double").alias("confidence"), "message", "line", "node_id", "context", F.lit(k).alias("rule_ord"))
+        except Exception as e:  # whatever a rule does wrong, the others still count
+            if crashed is None:
+                raise
+            crashed[i] = f"{type(e).__name__}: {str(e).strip().split(chr(10))[0][:200]}"
+            continue
         out = f if out is None else out.unionByName(f)
     if out is None:
-        raise ValueError("no rule is enabled")
+        if not crashed:
+            raise ValueError("no rule is enabled")
+        out = r["models"].sparkSession.createDataFrame([], "rule_id string, severity string, tier int, confidence double, message string, line int, node_id string, context string, rule_ord int")
     return out.join(r["models"].select("node_id", "path"), "node_id", "left").fillna({"path": "manifest.json"})
+
+
+def metadata(spark) -> DataFrame:
+    """(rule_id, severity, tier, confidence, requires_ast, is_node_rule) of every rule."""
+    return spark.createDataFrame([(x.id, x.severity, x.tier, x.confidence, x.requires_ast, x.is_node_rule) for x in RULES.values()], "rule_id string, severity string, tier int, confidence double, requires_ast boolean, is_node_rule boolean")

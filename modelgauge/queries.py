@@ -71,7 +71,7 @@ _VIEWS = dict(B.SQL) | {
     "findings": "select *, substr(sha256(concat(rule_id, chr(0), path, chr(0), context)), 1, 16) as fingerprint from findings0",
     "baseline": "select distinct fingerprint from findings where origin = 'lint'",
     "picked": "select f.*, case " + " ".join(f"when coalesce({s}, false) then {i}" for i, s in enumerate(_SEL)) + " end as e, b.fingerprint is not null as based from findings f left join baseline b using (fingerprint)",
-    "waived": "select *, case e when 0 then 'old' when 1 then 'one' when 2 then 'two' when 3 then 'entry-3' end as entry_id, coalesce(e = 0, false) as expired, not based as is_new, case when e is not null then case when e <> 0 then 'override' end when based then 'baseline' end as source, (case when e is not null then e <> 0 else based end) as suppressed from picked",
+    "waived": "select *, case e when 0 then 'old' when 1 then 'one' when 2 then 'two' when 3 then 'node_ids=model.p.7|model.p.8;waive=R3' end as entry_id, coalesce(e = 0, false) as expired, not based as is_new, case when e is not null then case when e <> 0 then 'override' end when based then 'baseline' end as source, (case when e is not null then e <> 0 else based end) as suppressed from picked",
     "worst": f"select * from (select *, row_number() over (partition by test_name, model order by {_RANK} desc, {_ORD}) as rn from results where kind <> 'UNIT') where rn = 1",
     "weights": f"select model as node_id, max({_W}) as weight from worst where status = 'PASS' group by 1",
     "per": "select m.node_id, m.has_yaml, m.description, m.n_model_tests, count(c.name) as n_columns, count(*) filter (c.n_tests > 0) as n_tested, count(*) filter (trim(c.description) <> '') as n_described from models m left join columns c using (node_id) group by all",

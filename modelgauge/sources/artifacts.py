@@ -85,3 +85,58 @@ def lint_findings(spark: SparkSession, path: str, severities: dict[str, str] | N
     rel = F.when(F.lit(bool(root)) & F.col("path").startswith(root.rstrip("/") + "/"), F.expr(f"substring(path, {len(root.rstrip('/')) + 2})")).otherwise(F.col("path"))
     out = v.select(F.concat(F.lit("SQLF."), "v.code").alias("rule_id"), weak.alias("severity"), F.lit(2).alias("tier"), F.lit(0.9).alias("confidence"), F.coalesce("v.description", "v.name").alias("message"), rel.alias("path"), line.alias("line"), col.alias("column"))
     return out.where("not startswith(path, '/')").dropDuplicates(["path", "line", "column", "rule_id"])
+
+
+def tool_version(spark: SparkSession, manifest: str) -> str | None:
+    """The version of the tool that wrote a manifest."""
+    row = spark.read.schema(MANIFEST).option("multiLine", True).json(manifest).select("metadata.dbt_version").first()
+    return row[0] if row else None
+
+
+def baseline(spark: SparkSession, root: str, given: str | None = None) -> DataFrame | None:
+    """(fingerprint) of the baseline file that is given, else of .modelgauge/baseline.json; None if there is none or it is no JSON of entries.
+
+    Entries without a fingerprint are left out.
+    """
+    from pathlib import Path
+
+    file = Path(given) if given else Path(root) / ".modelgauge" / "baseline.json"
+    if not file.is_file():
+        return None
+    rows = spark.read.text(str(file), wholetext=True).select(F.from_json("value", "entries array<struct<fingerprint: string>>")["entries"].alias("e"))
+    if rows.where("e is not null").isEmpty():
+        return None
+    return rows.select(F.explode("e.fingerprint").alias("fingerprint")).where("coalesce(fingerprint, '') <> ''").distinct()
+
+
+def read(spark: SparkSession, manifest: str | None, results: str | None, lint: str | None, severities: dict | None = None, root: str = "") -> tuple[DataFrame | None, DataFrame | None, str | None, list[tuple[str, str, str]]]:
+    """(test results, lint findings, tool version, [(adapter, status, message)]): an adapter that fails costs its own part only.
+
+    Tests whose results can't be read stay, as ones that weren't executed.
+    """
+    tests = found = version = None
+    status: list[tuple[str, str, str]] = []
+
+    def attempt(name: str, kind: str, f):
+        try:
+            out = f()
+            out.limit(1).count()  # what can't be read shows here, not within the scan
+            return out
+        except Exception as e:  # an artifact may be wrong in any way
+            status.append((name, kind, f"{type(e).__name__}: {str(e).strip().split(chr(10))[0][:200]}"))
+            return None
+
+    if lint:
+        found = attempt("lint", "read_failed", lambda: lint_findings(spark, lint, severities, root))
+        if found is not None:
+            status.append(("lint", "ok", ""))
+    if manifest:
+        alone = attempt("tests", "read_failed", lambda: test_results(spark, manifest, None))
+        if alone is not None:
+            version = tool_version(spark, manifest)
+            tests = attempt("tests", "read_failed", lambda: test_results(spark, manifest, results)) if results else alone
+            if tests is None:
+                tests = alone
+            else:
+                status.append(("tests", "ok", ""))
+    return tests, found, version, sorted(status)

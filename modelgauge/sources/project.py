@@ -114,6 +114,9 @@ def parse_yaml(path: str, text: str) -> list[dict]:
             for t in (s.get("tables") or []) if isinstance(s, dict) else []:
                 if isinstance(t, dict) and t.get("name"):
                     out.append(row("source", t, f"{s.get('name')}.{t['name']}", len(out)))
+        for x in data.get("exposures") or []:
+            if isinstance(x, dict) and x.get("name"):
+                out.append(row("exposure", x | {"meta": {"depends_on": x.get("depends_on"), "type": x.get("type"), **(x.get("meta") or {})}}, str(x["name"]), len(out)))
     return out
 
 
@@ -210,3 +213,44 @@ def with_compiled(m: DataFrame, compiled: DataFrame) -> DataFrame:
     """Compiled text, where there is any, in place of rendered text; refs and sources stay those of the template."""
     c = compiled.select("path", F.col("content").alias("_c"))
     return m.join(c, "path", "left").withColumn("mode", F.when(F.col("_c").isNull(), "MOCK").otherwise("COMPILED")).withColumn("sql", F.coalesce("_c", "sql")).withColumn("uncertain", F.col("uncertain") & F.col("_c").isNull()).drop("_c")
+
+
+def compiled_folder(root: Path, project: str, given: str | None = None) -> Path | None:
+    """Where compiled models are: the folder that is given, else target/compiled/<project>, else target/compiled."""
+    for p in ([Path(given)] if given else []) + [root / "target" / "compiled" / project, root / "target" / "compiled"]:
+        p = p if p.is_absolute() else root / p
+        if p.is_dir():
+            return p
+    return None
+
+
+def select_renderer(m: DataFrame, compiled: DataFrame | None, mode: str = "AUTO", least: float = 0.5) -> tuple[DataFrame, str, float]:
+    """(models with mode, the mode, the share of models with a compiled text).
+
+    COMPILED takes compiled texts and renders what has none; AUTO is COMPILED if the share is at least `least`.
+    """
+    if mode not in ("AUTO", "COMPILED", "MOCK"):
+        raise ConfigError(f"render.mode is {mode}")
+    ratio = 0.0
+    if compiled is not None and mode != "MOCK":
+        both = with_compiled(m, compiled)
+        n = both.agg(F.count(F.lit(1)), F.count_if(F.col("mode") == "COMPILED")).first()
+        ratio = n[1] / n[0] if n[0] else 0.0
+        if mode == "COMPILED" or ratio >= least:
+            return both, "COMPILED", ratio
+    return m.withColumn("mode", F.lit("MOCK")), "MOCK", ratio
+
+
+def dominant_mode(m: DataFrame) -> str:
+    """The mode that most models have; MOCK without any model."""
+    row = m.groupBy("mode").count().orderBy(F.col("count").desc(), "mode").first()
+    return row["mode"] if row else "MOCK"
+
+
+def seeds(spark: SparkSession, root: str, dirs: list[str]) -> DataFrame:
+    """(node name, path, source_hash) of the CSV files in the seed folders."""
+    csv = files(spark, root, "*.csv")
+    under = F.lit(False)
+    for d in dirs:
+        under = under | F.col("path").startswith(d.rstrip("/") + "/")
+    return csv.where(under).select(F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("name"), "path", "source_hash")
