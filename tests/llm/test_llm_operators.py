@@ -333,14 +333,58 @@ def test_crf_on_held_out_documents():
     assert len(want & got) >= 0.97 * len(want) and len(want & got) >= 0.97 * len(got)
 
 
-def test_skip_links_carry_labels():
+HELD_OUT = [
+    ("write to mailto:ann.lee@mail.example.org, please", [("EMAIL", "ann.lee@mail.example.org")]),
+    ('{"email":"joe@x-y.net","ip":"10.20.30.40"}', [("EMAIL", "joe@x-y.net"), ("IP", "10.20.30.40")]),
+    ("a@b.com,c@d.org;e.f@g.de", [("EMAIL", "a@b.com"), ("EMAIL", "c@d.org"), ("EMAIL", "e.f@g.de")]),
+    ("server=192.168.7.21:8080 is down", [("IP", "192.168.7.21")]),
+    ("pay with 4111 1111 1111 1111 today", [("CARD", "4111 1111 1111 1111")]),
+    ("card:4111-1111-1111-1111.", [("CARD", "4111-1111-1111-1111")]),
+    ("amex 3782 822463 10005 on file", [("CARD", "3782 822463 10005")]),
+    ("call 555 123 4567 or (555) 765-4321", [("PHONE", "555 123 4567"), ("PHONE", "(555) 765-4321")]),
+    ("tel +49 (301) 555-0199!", [("PHONE", "+49 (301) 555-0199")]),
+    ("in 2024 we sold 1234 of 5678 pieces, 12.5% more than 999.999.999.999", []),
+    ("version 1.2.3 of 2023-04-05, order 123456789", []),
+]
+
+
+def test_forms_that_the_generator_did_not_write():
+    model = pii_crf.train()
+    for text, want in HELD_OUT:
+        assert [(k, text[b:e]) for _, k, b, e, _ in pii_crf.entities(model, [text])] == want, text
+
+
+def test_skip_links_decide_labels():
     model = pii_crf.train()
-    g = pii_crf.Graph(["call 555-1234567 now and then again much later 555-1234567 bye"])
-    assert len(g.skip) == 1
     alone = pii_crf.Model(model.unary, model.chain, np.zeros_like(model.skip))
-    p, q = model.marginals(g), alone.marginals(g)
-    i, j = g.skip[0]
-    assert np.abs(p[i] - p[j]).max() <= np.abs(q[i] - q[j]).max() + 1e-9
+    text = "reach me at 212-555-0187 for this. " + "some words in between " * 20 + "ref 2125550187 end"
+    found = lambda m, t: [(k, t[b:e]) for _, k, b, e, _ in pii_crf.entities(m, [t])]
+    assert found(model, text) == [("PHONE", "212-555-0187"), ("PHONE", "2125550187")]
+    assert found(alone, text) == [("PHONE", "212-555-0187")]
+    assert found(model, text.replace("2125550187", "2125550188")) == [("PHONE", "212-555-0187")]
+
+
+def test_findings_depend_on_the_document_alone():
+    model = pii_crf.train()
+    texts, _ = pii_crf.examples(60, 78)
+    together = pii_crf.entities(model, texts)
+    apart = [(d, *x[1:]) for d, t in enumerate(texts) for x in pii_crf.entities(model, [t])]
+    assert [x[:4] for x in together] == [x[:4] for x in apart]
+    assert max(abs(x[4] - y[4]) for x, y in zip(together, apart)) < 1e-9
+
+
+def test_loopy_marginals_against_enumeration_with_a_loop():
+    model = pii_crf.train()
+    g = pii_crf.Graph(["212-555-0187 x 2125550187 x 212-555-0187"])
+    u, n, k = g.unary(model.unary), g.n, len(pii_crf.LABELS)
+    assert len(g.skip) == 3 and len(g.chain) == n - 1
+    total = np.zeros((n, k))
+    for y in itertools.product(range(k), repeat=n):
+        w = math.exp(sum(u[i, y[i]] for i in range(n)) + sum(model.chain[y[a], y[b]] for a, b in g.chain) + sum(model.skip[y[a], y[b]] for a, b in g.skip))
+        for i in range(n):
+            total[i, y[i]] += w
+    exact, got = total / total.sum(1, keepdims=True), model.marginals(g)
+    assert (exact.argmax(1) == got.argmax(1)).all() and np.abs(exact - got).max() < 0.1
 
 
 def test_loopy_marginals_equal_enumeration_on_a_tree():
