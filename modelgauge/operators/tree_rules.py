@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from modelgauge.functions import exprs as X
 from modelgauge.operators import graph as G
 from modelgauge.operators import metadata_rules as R
+from modelgauge.plans.materialize import materialized
 
 COLUMNS = ("rule_id", "severity", "tier", "confidence", "message", "path", "line", "node_id", "context")
 
@@ -166,14 +167,30 @@ def incremental_key(r, p):
 
 @rule("R001", "MAJOR", 1, 0.85, node=False)
 def near_duplicates(r, p):
-    """Pairs of models whose sets of three-token shingles of facts agree by at least the threshold, by an exact shingle join."""
+    """Pairs of models whose sets of three-token shingles agree by at least the threshold: an exact join of the sets' prefixes.
+
+    Shingles are 64-bit hashes. In each set they are put in order of how many models have them, then of the hash; two sets that agree
+    by t share one of their first n - ceil(t n) + 1, so only these are joined, without those of one model, and every pair so found
+    is compared in full. Texts are cut once, into a checkpoint, and no join may be a broadcast: sizes are unknown after explode.
+    """
+    t = float(p.get("threshold", 0.85))
     tokens = F.filter(F.split(F.lower("sql"), r"\W+"), lambda x: x != "")
-    sh = r["parsed"].where("parse_ok").select("node_id", tokens.alias("t")).where("size(t) >= 6")
-    sh = sh.select("node_id", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - 3), lambda i: F.array_join(F.slice("t", i + 1, 3), " "))).alias("s")).withColumn("n", F.size("s"))
-    e = sh.select("node_id", "n", F.explode("s").alias("x"))
-    a, b = e.select(F.col("node_id").alias("a"), F.col("n").alias("na"), "x"), e.select(F.col("node_id").alias("b"), F.col("n").alias("nb"), "x")
-    pairs = a.join(b, "x").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k")).withColumn("sim", F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).where(F.col("sim") >= p.get("threshold", 0.85))
-    both = pairs.select(F.col("a").alias("node_id"), F.col("b").alias("o"), "sim").unionByName(pairs.select(F.col("b").alias("node_id"), F.col("a").alias("o"), "sim"))
+    one = F.transform(F.sequence(F.lit(0), F.size("t") - 3), lambda i: F.xxhash64(F.get("t", i), F.get("t", i + 1), F.get("t", i + 2)))
+    text = r["parsed"].where("parse_ok").select("node_id", "sql").repartition("node_id").select("node_id", tokens.alias("t"))
+    sh = materialized(text.select(F.monotonically_increasing_id().alias("id"), "node_id", F.when(F.size("t") >= 6, F.array_distinct(one)).alias("s")))
+    e = sh.select("id", F.size("s").alias("n"), F.explode("s").alias("x")).withColumn("c", F.count(F.lit(1)).over(W.partitionBy("x"))).where("c > 1")
+    e = e.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("o")).withColumn("first", F.col("n") - F.size("o"))
+    prefix = F.slice("o", F.lit(1), F.greatest(F.lit(0), (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1 - F.col("first")).cast("int")))
+    pre = materialized(e.select("id", "n", "first", F.posexplode(prefix).alias("i", "v")).select("id", "n", (F.col("n") - F.col("first") - F.col("i")).alias("rest"), F.col("v.x").alias("x")))
+    a, b = (pre.select("x", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}")) for k in "ab")
+    # of a pair's first common shingle the overlap is bounded by what follows in each set
+    least = (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9
+    found = a.join(b.hint("merge"), "x").where((F.col("a") < F.col("b")) & (F.least("ra", "rb") >= least)).select("a", "b").distinct()
+    for k in "ab":
+        found = found.join(sh.select(F.col("id").alias(k), F.col("node_id").alias(f"node_{k}"), F.col("s").alias(f"s{k}")).hint("merge"), k)
+    pairs = found.select("node_a", "node_b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("k"))
+    pairs = pairs.withColumn("sim", F.col("k") / (F.col("n") - F.col("k"))).where(F.col("sim") >= t)
+    both = pairs.select("sim", F.explode(F.array(*(F.struct(F.col(x).alias("node_id"), F.col(y).alias("o")) for x, y in (("node_a", "node_b"), ("node_b", "node_a"))))).alias("p")).select("p.*", "sim")
     return _out(both.withColumn("confidence", F.col("sim")), F.concat(F.lit("nearly the same as "), "o"), F.concat(F.lit("R001:"), "o"), F.lit(1))
 
 
