@@ -28,27 +28,66 @@ def leaves(nodes: DataFrame, e: DataFrame) -> DataFrame:
     return nodes.join(e.select(F.col("parent").alias("node_id")), "node_id", "left_anti")
 
 
-def closure(e: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(ancestor, descendant): semi-naive, each round joins only the pairs that the last one found; rounds are written down."""
-    e = materialized(e.select("parent", "child").distinct())
-    known = new = e.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"))
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(ancestor, descendant) of the paths of left followed by those of right; merged, as a broadcast would go through the driver."""
+    right = right.select(F.col("ancestor").alias("_m"), F.col("descendant").alias("_d")).hint("merge")
+    return left.join(right, F.col("descendant") == F.col("_m")).select("ancestor", F.col("_d").alias("descendant"))
+
+
+def _without(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    return pairs.join(known.hint("merge"), ["ancestor", "descendant"], "left_anti")
+
+
+def closure(e: DataFrame, rounds: int = 64) -> DataFrame:
+    """(ancestor, descendant) by doubling: as many rounds as the logarithm of the longest shortest path.
+
+    Before round i `known` has the pairs at a distance under 2^i and `far` those at 2^i exactly. A shortest path is made of shortest
+    paths, so known, far and known followed by far are all pairs under 2^(i+1), and far followed by far, without these, are those
+    at it; with none of them there is nothing beyond. Each pair is written once: `known` is a union of the rounds' parts.
+    """
+    known, far = None, materialized(e.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
     for _ in range(rounds):
-        step = new.join(e, new["descendant"] == e["parent"]).select("ancestor", F.col("child").alias("descendant")).distinct()
-        new = materialized(step.join(known, ["ancestor", "descendant"], "left_anti"))
-        if new.isEmpty():
-            return known
-        known = materialized(known.union(new))
+        if far.isEmpty():
+            return far if known is None else known
+        if known is None:
+            known = far
+        else:
+            both = known.union(far)
+            known = both.union(materialized(_without(_joined(known, far).distinct(), both)))
+        far = materialized(_without(_joined(far, far).distinct(), known))
     raise RuntimeError("the closure did not end")
 
 
+def trimmed(e: DataFrame, gain: float = 0.1) -> DataFrame:
+    """Edges (parent, child), of which those that can't be on a cycle are mostly gone: as an end has no edge that enters or leaves.
+
+    Goes on while a round drops at least this share; all edges on cycles, and between them, stay.
+    """
+    e = materialized(e.select("parent", "child").distinct())
+    n = e.count()
+    while n:
+        enter = e.select(F.col("child").alias("parent")).distinct()
+        leave = e.select(F.col("parent").alias("child")).distinct()
+        e = materialized(e.join(leave.hint("merge"), "child", "left_semi").join(enter.hint("merge"), "parent", "left_semi").select("parent", "child"))
+        before, n = n, e.count()
+        if n > (1 - gain) * before:
+            break
+    return e
+
+
 def cycles(reach: DataFrame) -> DataFrame:
     """(cycle_id, members): strongly connected components with a cycle; the id is the least member."""
     back = reach.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("ancestor"))
-    mutual = reach.join(back, ["ancestor", "descendant"])
+    mutual = reach.join(back.hint("merge"), ["ancestor", "descendant"])
     own = mutual.groupBy(F.col("ancestor").alias("node_id")).agg(F.min("descendant").alias("cycle_id"))
     return own.groupBy("cycle_id").agg(F.array_sort(F.collect_set("node_id")).alias("members"))
 
 
+def cycles_of(e: DataFrame) -> DataFrame:
+    """The cycles of edges; only what trimming leaves is closed."""
+    return cycles(closure(trimmed(e)))
+
+
 LAYERS = (("source", ("sources/*", "*/sources/*")), ("staging", ("staging/*", "*/staging/*", "stg_*")), ("intermediate", ("intermediate/*", "*/intermediate/*", "int_*")), ("mart", ("marts/*", "*/marts/*", "fct_*", "dim_*")))
 ALLOWED = (("source", "staging"), ("staging", "staging"), ("staging", "intermediate"), ("staging", "mart"), ("intermediate", "intermediate"), ("intermediate", "mart"), ("mart", "mart"))
 

@@ -144,3 +144,44 @@ def test_near_duplicates_equal_brute_force_and_broadcast_nothing(spark, monkeypa
     want = {(a, f"R001:{b}"): len(x & y) / len(x | y) for a, x in cut.items() for b, y in cut.items() if a != b and x & y and len(x & y) / len(x | y) >= threshold}
     got = [(r["node_id"], r["context"], r["confidence"]) for r in df.collect()]
     assert want and {(a, c): v for a, c, v in got} == want and len(got) == len(want)
+
+
+def reachable(edges):
+    out = {}
+    for a in {a for a, _ in edges}:
+        seen, todo = set(), [a]
+        while todo:
+            x = todo.pop()
+            new = {c for p, c in edges if p == x} - seen
+            seen |= new
+            todo += new
+        out[a] = seen
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closure_and_cycles_of_any_graph_by_few_rounds_without_broadcast(spark, monkeypatch, seed):
+    rnd = random.Random(seed)
+    edges = {(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range((20, 35, 60)[seed])}
+    edges |= {(f"c{i}", f"c{i + 1}") for i in range(21)} | {("c3", "c9"), ("c20", "c12"), ("z", "z")}
+    e = spark.createDataFrame(sorted(edges) * 2, "parent string, child string")
+    plans = no_broadcast(monkeypatch, G)
+    reach = G.closure(e)
+    assert len(plans) <= 2 * 6 + 1 and not any("Broadcast" in x for x in plans)
+    want = reachable(edges)
+    got = [tuple(r) for r in reach.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, d) for a, ds in want.items() for d in ds}
+    del plans[:]
+    found = G.cycles_of(e)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in x for x in plans)
+    groups = {tuple(sorted(b for b in want[a] if a in want.get(b, ()))) for a in want if a in want[a]}
+    assert {(r["cycle_id"], tuple(r["members"])) for r in found.collect()} == {(g[0], g) for g in groups}
+
+
+def test_trimming_leaves_no_edge_of_a_tree_and_all_of_cycles(spark):
+    tree = [(f"t{i // 2}", f"t{i}") for i in range(1, 64) if i > 1]
+    loops = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c")]
+    frame = lambda rows: spark.createDataFrame(rows, "parent string, child string")
+    assert G.trimmed(frame(tree)).count() == 0 and G.cycles_of(frame(tree)).count() == 0
+    assert {tuple(r) for r in G.trimmed(frame(tree + loops + [("t5", "a"), ("d", "e")])).collect()} == set(loops)
