@@ -185,3 +185,18 @@ def test_trimming_leaves_no_edge_of_a_tree_and_all_of_cycles(spark):
     frame = lambda rows: spark.createDataFrame(rows, "parent string, child string")
     assert G.trimmed(frame(tree)).count() == 0 and G.cycles_of(frame(tree)).count() == 0
     assert {tuple(r) for r in G.trimmed(frame(tree + loops + [("t5", "a"), ("d", "e")])).collect()} == set(loops)
+
+
+def test_first_of_each_tier_take_bounded_memory(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([1, 1, 2, 7, None]), rnd.choice(X.SEVERITIES), f"p{rnd.randrange(4)}", rnd.randrange(3), "R", i) for i in range(300)] + [(9, "INFO", "p", 1, "R", 300)]
+    f = spark.createDataFrame(rows, "tier int, severity string, path string, line int, rule_id string, ord int")
+    df = K.top_per_tier(f, 5, ["ord"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject(limit=5") == 5 and plan.count("Window [") == 1
+    want = set()
+    for t in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == t), key=lambda r: (X.SEVERITIES.index(r[1]), *r[2:]))
+        want |= {(*r, k + 1, max(0, len(mine) - 5)) for k, r in enumerate(mine[:5])}
+    assert df.columns == [*f.columns, "position", "more"] and sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+    assert K.top_per_tier(f.where("false")).count() == 0
