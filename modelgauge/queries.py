@@ -312,7 +312,7 @@ def _(r):
 
 @query("g_cycle")
 def _(r):
-    return G.cycles(G.closure(r("edges"))).select("cycle_id", F.array_join("members", ",").alias("members"))
+    return G.cycles_of(r("edges")).select("cycle_id", F.array_join("members", ",").alias("members"))
 
 
 ORACLE_SQL["g_desc"] = _CLOSURE + "select ancestor, descendant from r"
