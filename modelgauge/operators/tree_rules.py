@@ -236,7 +236,7 @@ def source_bypass(r, p):
 
 @rule("A004", "CRITICAL", 1, 1.0, ast=False, node=False)
 def cycle(r, p):
-    c = G.cycles(G.closure(r["edges"])).withColumnRenamed("cycle_id", "node_id")
+    c = G.cycles_of(r["edges"]).withColumnRenamed("cycle_id", "node_id")
     return _out(c, F.concat(F.lit("cycle: "), F.array_join("members", " -> ")), F.concat(F.lit("A004:"), F.array_join("members", ",")), F.lit(1))
 
 
