@@ -126,7 +126,7 @@ def no_broadcast(monkeypatch, *modules):
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.6, 0.85, 1.0])
-def test_near_duplicates_equal_brute_force_and_broadcast_nothing(spark, monkeypatch, threshold):
+def test_near_duplicates_equal_brute_force_and_broadcast_nothing(spark, monkeypatch, tmp_path, threshold):
     rnd = random.Random(5)
     texts = []
     for i in range(60):  # a common head, and a tail that later models copy with few changes
@@ -137,6 +137,8 @@ def test_near_duplicates_equal_brute_force_and_broadcast_nothing(spark, monkeypa
     sql = {f"m{i}": " ".join(["select a b c d from"[: 8 + i % 12], *t]) for i, t in enumerate(texts)} | {"short": "select a b", "bad": "select a b c d from w1 w2"}
     plans = no_broadcast(monkeypatch, T)
     parsed = spark.createDataFrame([(k, v, k != "bad") for k, v in sql.items()] + [("none", None, True)], "node_id string, sql string, parse_ok boolean")
+    parsed.coalesce(1).write.parquet(str(tmp_path / "in"))  # of a file the size is known, and small enough to be broadcast
+    parsed = spark.read.parquet(str(tmp_path / "in"))
     df = T.near_duplicates({"parsed": parsed}, {"threshold": threshold})
     plans.append(df._jdf.queryExecution().executedPlan().toString())
     assert not any("Broadcast" in x for x in plans)
@@ -160,12 +162,14 @@ def reachable(edges):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_closure_and_cycles_of_any_graph_by_few_rounds_without_broadcast(spark, monkeypatch, seed):
+def test_closure_and_cycles_of_any_graph_by_few_rounds_without_broadcast(spark, monkeypatch, tmp_path, seed):
     rnd = random.Random(seed)
     edges = {(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range((20, 35, 60)[seed])}
     edges |= {(f"c{i}", f"c{i + 1}") for i in range(21)} | {("c3", "c9"), ("c20", "c12"), ("z", "z")}
     e = spark.createDataFrame(sorted(edges) * 2, "parent string, child string")
     plans = no_broadcast(monkeypatch, G)
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))  # of a file the size is known, and small enough to be broadcast
+    e = spark.read.parquet(str(tmp_path / "in"))
     reach = G.closure(e)
     assert len(plans) <= 2 * 6 + 1 and not any("Broadcast" in x for x in plans)
     want = reachable(edges)
