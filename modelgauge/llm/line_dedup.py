@@ -14,7 +14,8 @@ Of each component the line of least (doc_id, text hash, line number) stays; a nu
 Between the passes only hashes move, packed: a task sends each bucket of bands one row of arrays, so the shuffle moves few
 large rows, and a line counts once a task however often it occurs.  The lines of a band of more than ``BLOCK`` are worked
 off in pairs of blocks, which are rows of their own, so no task holds or compares a whole hot band.  Which lines need
-verifying is told to the second pass by a Bloom filter of fixed size, and only their texts are shuffled.
+verifying is told to the second pass by a Bloom filter of fixed size, and only their texts are shuffled.  That pass also
+writes down where every line is, so texts are read and cut into lines twice; a run of texts is normalised at once, as bytes.
 
 Defined cases: blank lines are never removed; a null text has no lines; a line of any length, and a text of any length, is read
 whole; rows with the same doc_id and text are one document and lose the same lines, rows with the same doc_id and other
@@ -61,18 +62,63 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+_WIDE_SPACES = [chr(c) for c in range(128, 1 << 16) if chr(c).isspace()]
+_CODES = np.array([int.from_bytes(w) << 8 * (3 - len(w)) for w in (c.encode() for c in _WIDE_SPACES)])
+_SPACES = {c: " " for c in range(1 << 16) if chr(c).isspace() and c != ord("\n")}
+#: Of each byte: 1 for a space, 2 for a line's end, 3 for what may begin white space of several bytes, 4 for other white space.
+_KIND = bytes(1 if b == 32 else 2 if b == 10 else 4 if b < 128 and chr(b).isspace() else 3 if b in {c.encode()[0] for c in _WIDE_SPACES} else 0 for b in range(256))
+
+
+def _other_space(buf: np.ndarray, kind: np.ndarray) -> bool:
+    """Whether there is white space besides spaces and line ends, be it of several bytes."""
+    if (kind == 4).any():
+        return True
+    at = np.flatnonzero(kind == 3)
+    one, two, three = (buf[np.minimum(at + k, len(buf) - 1)].astype(np.int64) for k in range(3))
+    return bool(np.isin(one << 16 | two << 8 | np.where(one < 0xE0, 0, three), _CODES).any())
+
+
+def normals(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The normal forms of all lines of several texts, at once: their bytes, and where each begins and ends. Blank lines are empty."""
+
+    def read(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = b"\n".join([*(t.encode("utf-8", "surrogatepass") for t in low), b""])
+        return np.frombuffer(data, dtype=np.uint8), np.frombuffer(data.translate(_KIND), dtype=np.uint8)
+
+    low = [t.lower() for t in texts]
+    buf, kind = read(low)
+    if _other_space(buf, kind):
+        buf, kind = read([t.translate(_SPACES) for t in low])
+    last = np.zeros(len(kind), dtype=bool)  # a space that another one or the line's end follows goes
+    np.logical_and(kind[:-1] == 1, (kind[1:] == 1) | (kind[1:] == 2), out=last[:-1])
+    if last.any():
+        buf, kind = buf[~last], kind[~last]
+    lead = kind == 1  # so does one that a line begins with
+    lead[1:] &= kind[:-1] == 2
+    if lead.any():
+        buf, kind = buf[~lead], kind[~lead]
+    end = np.flatnonzero(kind == 2)
+    return buf, np.concatenate([[0], end[:-1] + 1]), end
+
+
 class Lines:
     """The non-blank lines of several texts: text number, line number, normal form and its hash."""
 
     def __init__(self, texts: list[str]):
-        self.text, self.no, self.norm = [], [], []
-        for i, t in enumerate(texts):
-            for k, line in enumerate(t.split("\n")):
-                if n := normal(line):
-                    self.text.append(i), self.no.append(k), self.norm.append(n.encode("utf-8", "surrogatepass"))
-        self.bytes = Joined(self.norm)
+        if not texts:
+            texts = [""]
+        buf, at, end = normals(texts)
+        n = np.array([t.count("\n") + 1 for t in texts])
+        some = np.flatnonzero(end > at)
+        self.text = np.repeat(np.arange(len(texts)), n)[some]
+        self.no = some - (np.cumsum(n) - n)[self.text]
+        self.bytes = Joined(buf, at[some], (end - at)[some])
         self.hash = self.bytes.hash
 
+    def norms(self, chosen: np.ndarray) -> list[bytes]:
+        data = self.bytes.buf.tobytes()
+        return [data[a : a + n] for a, n in zip(self.bytes.at[chosen].tolist(), self.bytes.size[chosen].tolist())]
+
     def bands(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of line, band) of the chosen lines that have shingles."""
         use = chosen[self.bytes.size[chosen] >= SHINGLE]
@@ -93,22 +139,32 @@ class Lines:
 
 
 class Joined:
-    """Byte strings in one buffer: sizes, hashes, and the hashes of their shingles."""
+    """Byte strings in one buffer: where they begin, their sizes, their hashes, and the hashes of their shingles."""
 
-    def __init__(self, norm: list[bytes]):
-        self.size = np.fromiter(map(len, norm), dtype=np.int64, count=len(norm))
-        self.at = np.concatenate([[0], np.cumsum(self.size + 1)])
-        buf = np.frombuffer(b"\n".join([*norm, b""]), dtype=np.uint8)
+    def __init__(self, buf: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.buf, self.at, self.size = buf, at, size
         p, self.inv = tc.powers(len(buf) + 1)
         self.total = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=self.total[1:])
-        self.hash = tc.mix((self.total[self.at[:-1] + self.size] - self.total[self.at[:-1]]) * self.inv[self.at[:-1]])
+        term = buf.astype(np.uint64)
+        term += np.uint64(1)
+        term *= p[: len(buf)]
+        np.cumsum(term, out=self.total[1:])
+        self.hash = tc.mix((self.total[at + size] - self.total[at]) * self.inv[at])
+
+    @classmethod
+    def of(cls, norm: list[bytes]) -> Joined:
+        size = np.fromiter(map(len, norm), dtype=np.int64, count=len(norm))
+        return cls(np.frombuffer(b"\n".join([*norm, b""]), dtype=np.uint8), np.cumsum(size + 1) - size - 1, size)
 
     def shingles(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all shingles of the strings `use`, each of at least SHINGLE bytes, and where each string's begin."""
         n = self.size[use] - SHINGLE + 1
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        at = np.arange(n.sum()) - np.repeat(first - self.at[:-1][use], n)
+        at = np.arange(n.sum()) - np.repeat(first - self.at[use], n)
+        if 2 * len(at) > len(self.buf):  # most of the buffer: in its order, then those that lie within a string
+            h = self.total[SHINGLE:] - self.total[:-SHINGLE]
+            h *= self.inv[: len(h)]
+            return tc.mix(h[at]), first
         return tc.mix((self.total[at + SHINGLE] - self.total[at]) * self.inv[at]), first
 
 
@@ -121,7 +177,7 @@ def _bands(log2_buckets: int):
 
         def rows() -> pa.RecordBatch:
             line, band = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            order = np.argsort(band, kind="stable")
+            order = np.argsort(band)
             line, band = line[order], band[order]
             bucket = (band >> np.uint64(64 - log2_buckets)).astype(np.int64)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
@@ -147,13 +203,6 @@ def _bands(log2_buckets: int):
     return run
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in tc.slices(batches):
-        x = Lines(texts)
-        at = pa.array(np.array(x.text, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), pa.array(x.no, pa.int32()), pa.array(x.hash.view(np.int64))], names=["doc_id", "text_hash", "line_no", "line"])
-
-
 def blocks(members: np.ndarray, block: int) -> Iterator[np.ndarray]:
     """Sets of at most two blocks of members that together hold every pair of them."""
     parts = [members[s : s + block] for s in range(0, len(members), block)]
@@ -168,11 +217,20 @@ def _groups(block: int):
     """(a, b, members) of sorted buckets: a band's first line with each other one, and bands of three lines and more as sets."""
 
     def whole(keys: np.ndarray, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(keys)
+        keys = keys[order]
+        again = keys[1:] == keys[:-1]
+        shared = np.zeros(len(keys), dtype=bool)  # most bands have one line, which proposes nothing
+        shared[1:] = again
+        shared[:-1] |= again
+        keys, lines = keys[shared], lines[order[shared]]
         order = np.lexsort((lines, keys))
         keys, lines = keys[order], lines[order]
         once = np.ones(len(keys), dtype=bool)
         once[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
         keys, lines = keys[once], lines[once].view(np.int64)
+        if not len(keys):
+            return
         cut = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
         size = np.diff(cut)
         head = np.repeat(lines[cut[:-1]], size)
@@ -238,17 +296,40 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pairs(kept[1], kept[2])
 
 
-def _texts(bloom: np.ndarray):
+def _places(bloom: np.ndarray, most: int = 1 << 16):
+    """Of each text the places and hashes of its lines, packed, `most` a row; of each line that the filter lets through its normal form."""
+
+    def packed(x: np.ndarray, cut: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in tc.slices(batches):
+        names = ["doc_id", "text_hash", "nos", "lines", "line", "norm"]
+        for part, texts in tc.slices(batches):
             x = Lines(texts)
+            first = np.searchsorted(x.text, x.text)
+            cut = np.append(np.flatnonzero((np.arange(len(first)) - first) % most == 0), len(first))
+            at = pa.array(x.text[cut[:-1]])
+            step = max(1, (1 << 30) // (8 * most))  # rows of at most 1 GB
+            for s in range(0, len(at), step):
+                c = cut[s : s + step + 1]
+                own = slice(c[0], c[-1])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at[s : s + step]), part.column(2).take(at[s : s + step]), packed(x.no[own].astype(np.int32), c - c[0]), packed(x.hash[own], c - c[0]), pa.nulls(len(c) - 1, pa.int64()), pa.nulls(len(c) - 1, pa.binary())], names=names)
             h, first = np.unique(x.hash, return_index=True)
             keep = tc.bloom_has(bloom, h)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array([x.norm[i] for i in first[keep]], pa.binary())], names=["line", "norm"])
+            n = int(keep.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(h[keep].view(np.int64)), pa.array(x.norms(first[keep]), pa.binary())], names=names)
 
     return run
 
 
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, line_no, line) of packed lines."""
+    for batch in batches:
+        nos, lines = (b"".join(batch.column(c).to_pylist()) for c in (2, 3))
+        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(n) // 4 for n in batch.column(2).to_pylist()]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.frombuffer(nos, dtype=np.int32)), pa.array(np.frombuffer(lines, dtype=np.int64))], names=["doc_id", "text_hash", "line_no", "line"])
+
+
 def shingle_set(norm: bytes) -> frozenset[bytes]:
     return frozenset(norm[i : i + SHINGLE] for i in range(len(norm) - SHINGLE + 1))
 
@@ -267,7 +348,7 @@ def similar(x: list[bytes], y: list[bytes], least: float = SIMILARITY, width: in
     """
     names: dict[bytes, int] = {}
     i, j = (np.array([names.setdefault(s, len(names)) for s in side], dtype=np.int64) for side in (x, y))
-    h, first = Joined(list(names)).shingles(np.arange(len(names)))
+    h, first = Joined.of(list(names)).shingles(np.arange(len(names)))
     n = np.diff(np.concatenate([first, [len(h)]]))
     line = np.repeat(np.arange(len(names)), n)
     bits = np.zeros((len(names), width), dtype=bool)
@@ -318,8 +399,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield part.select(["a", "b"]).filter(pa.array(similar(part.column(2).to_pylist(), part.column(3).to_pylist())))
 
 
-def similar_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(line, root): the component of each line that is similar to another one."""
+def similar_lines(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, line_no, line) of all lines, and (line, root), the component of each line that is similar to another one."""
     text = tc.ids_texts(docs)
     log2_buckets = max(10, (8 * text.rdd.getNumPartitions()).bit_length())
     packed = text.mapInArrow(_bands(log2_buckets), "bucket bigint, keys binary, lines binary").repartition("bucket").sortWithinPartitions("bucket")
@@ -329,7 +410,8 @@ def similar_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     lines = stars.select(F.explode(F.array("a", "b")).alias("line"))
     bloom = tc.bloom_words(lines, "line")
     shared = text.sparkSession.sparkContext.broadcast(bloom)
-    norms = tc.checkpointed(text.mapInArrow(lambda it: _texts(shared.value)(it), "line bigint, norm binary").dropDuplicates(["line"]))
+    places = tc.checkpointed(text.withColumn("text_hash", F.xxhash64("text")).mapInArrow(lambda it: _places(shared.value)(it), "doc_id bigint, text_hash bigint, nos binary, lines binary, line bigint, norm binary"))
+    norms = tc.checkpointed(places.where("norm is not null").select("line", "norm").dropDuplicates(["line"]))
 
     def verified(p: DataFrame) -> DataFrame:
         both = p.join(norms.select(F.col("line").alias("a"), F.col("norm").alias("na")), "a").join(norms.select(F.col("line").alias("b"), F.col("norm").alias("nb")), "b")
@@ -341,13 +423,14 @@ def similar_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     split = rooted.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
     rest = rooted.join(split, "gid", "left_semi").repartition("gid").sortWithinPartitions("gid").mapInArrow(_across, "a bigint, b bigint").distinct()
     edges = near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(rest.join(stars, ["a", "b"], "left_anti")))
-    return tc.components(edges).select(F.col("node").alias("line"), "root")
+    occurrences = places.where("norm is null").select("doc_id", "text_hash", "nos", "lines").mapInArrow(_occurrences, "doc_id bigint, text_hash bigint, line_no int, line bigint")
+    return occurrences, tc.components(edges).select(F.col("node").alias("line"), "root")
 
 
 def duplicate_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_hash, line_no, kept_doc_id, kept_line_no) of each line that goes, with the one that stays for it."""
-    lines = tc.ids_texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(_occurrences, "doc_id bigint, text_hash bigint, line_no int, line bigint")
-    keyed = lines.join(similar_lines(docs, block), "line", "left").select("doc_id", "text_hash", "line_no", F.coalesce("root", "line").alias("key"))
+    lines, near = similar_lines(docs, block)
+    keyed = lines.join(near, "line", "left").select("doc_id", "text_hash", "line_no", F.coalesce("root", "line").alias("key"))
     keyed = tc.checkpointed(keyed)
     firsts = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     gone = keyed.join(firsts, "key").where("not (struct(doc_id, text_hash, line_no) <=> kept)")

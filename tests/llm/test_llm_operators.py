@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from modelgauge.llm import decontamination, host_rules, license_rules, line_dedup, packing, pii_crf, secret_ledger, simhash_forest, substring_dedup, toxicity
@@ -177,6 +178,40 @@ def test_line_dedup_against_all_pairs(spark):
         assert left[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got)
 
 
+def test_lines_of_many_texts_at_once_are_those_of_each_line():
+    r = random.Random(5)
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    chars = spaces + ["\n"] * 20 + [" ", "  "] * 5 + list("aBcΣσςİıßÉ’—\u200b\u1681中\U0001f600\ud800")
+    for _ in range(600):
+        texts = ["".join(r.choice(chars) for _ in range(r.randrange(40))) for _ in range(r.randrange(5))]
+        want = [(i, k, n.encode("utf-8", "surrogatepass")) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if (n := line_dedup.normal(x))]
+        x = line_dedup.Lines(texts)
+        assert list(zip(x.text, x.no, x.norms(np.arange(len(x.no))))) == want
+        assert x.hash.tolist() == line_dedup.Joined.of([n for *_, n in want]).hash.tolist()
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 16])
+def test_places_of_lines_come_back_whole_however_they_are_packed(most):
+    texts = ["a\n\nb\n c\nd\na", "", None, "\n \n", "a", "e\n" * 7]
+    docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, None, None, 6], "text": texts, "text_hash": [10, 20, 30, 40, 50, 60]})
+    rows = pa.Table.from_batches(list(line_dedup._places(np.full(1 << 5, (1 << 64) - 1, np.uint64), most)(iter([docs]))))
+    packed = rows.filter(rows["norm"].is_null()).select(["doc_id", "text_hash", "nos", "lines"])
+    assert most > 3 or packed.num_rows == sum(-(-n // most) for n in (5, 1, 7))
+    norm = dict(zip(rows["line"].to_pylist(), rows["norm"].to_pylist()))
+    got = [x for b in line_dedup._occurrences(iter(packed.to_batches())) for x in zip(*(c.to_pylist() for c in b.columns))]
+    want = [(1, 10, k, n) for k, n in ((0, b"a"), (2, b"b"), (3, b"c"), (4, b"d"), (5, b"a"))] + [(None, 50, 0, b"a")] + [(6, 60, k, b"e") for k in range(7)]
+    assert [(d, t, k, norm[h]) for d, t, k, h in got] == want
+
+
+def test_line_dedup_reads_the_texts_twice(spark, monkeypatch, tmp_path):
+    frame(spark, ["one line of some length\nand another one", "one line of some length\nand yet another"]).write.parquet(str(tmp_path / "in"))
+    reads, keep = [], tc.checkpointed
+    monkeypatch.setattr(tc, "checkpointed", lambda df: reads.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")) or keep(df))
+    df = line_dedup.duplicate_lines(spark.read.parquet(str(tmp_path / "in")))
+    assert sum(reads) + df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+    assert df.count() == 1
+
+
 @pytest.mark.parametrize("flush_at", [1 << 20, 200])
 def test_repeated_spans_against_all_windows(spark, flush_at):
     r = random.Random(3)
