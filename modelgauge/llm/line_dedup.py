@@ -164,7 +164,9 @@ class Joined:
         if 2 * len(at) > len(self.buf):  # most of the buffer: in its order, then those that lie within a string
             h = self.total[SHINGLE:] - self.total[:-SHINGLE]
             h *= self.inv[: len(h)]
-            return tc.mix(h[at]), first
+            h = h[at]
+            del at
+            return tc.mix(h), first
         return tc.mix((self.total[at + SHINGLE] - self.total[at]) * self.inv[at]), first
 
 
@@ -393,8 +395,8 @@ def similar(x: list[bytes], y: list[bytes], least: float = SIMILARITY, width: in
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, norm_a, norm_b): those whose sets of shingles are similar."""
     for batch in batches:
-        for s in range(0, batch.num_rows, 4096):
-            part = batch.slice(s, 4096)
+        for s in range(0, batch.num_rows, 1024):  # the shingles of all these are in memory at once
+            part = batch.slice(s, 1024)
             if part.num_rows:
                 yield part.select(["a", "b"]).filter(pa.array(similar(part.column(2).to_pylist(), part.column(3).to_pylist())))
 
